@@ -11,8 +11,10 @@ algorithm), on runs of equal sign, since a segment always begins and ends with s
 
 *Calibration.*  Under the clean token distribution the best segment of n tokens follows an extreme-value law:
 a score of S or more is expected `E = K n exp(-lambda S)` times.  lambda solves `sum p(s) exp(lambda s) = 1` over
-the scores of clean tokens; K is fitted to the maxima of shuffled clean text (see `calibrate`).  A segment with
-E at most `expected` is significant, and a document with a significant segment is toxic.
+the scores of clean tokens; K is fitted to the maxima of shuffled clean text (see `calibrate`).  The scores of clean
+tokens are held out: each half of the labelled documents is scored by what the other half teaches, so that words
+which resemble toxic ones by chance are seen as often as they will be.  A segment with E at most `expected` is
+significant, and a document with a significant segment is toxic.
 
 Defined results: null and empty texts have no segment.  Labels with a null doc_id or class are ignored; a document
 with labels that disagree counts as toxic; repeated rows of a document count once each.  Without both classes
@@ -54,8 +56,12 @@ class ToxicModel:
         return any((s > 0).any() for s in self.scores)
 
     def token_scores(self, words: Words) -> np.ndarray:
-        """The score of each word of a block: that of its most specific unit with enough counts."""
-        out = np.full(len(words), -self.drift)
+        """The score of each word of a block: that of its most specific unit with enough counts.
+
+        The k-th occurrence of a word in a text has a k-th of its positive score: words come in bursts, and one
+        that is a little suspicious doesn't become a proof by repetition.
+        """
+        out = np.zeros(len(words))
         todo = np.ones(len(words), bool)
         for stem, keys, scores in zip(STEMS, self.keys, self.scores):
             if not len(keys):
@@ -63,9 +69,18 @@ class ToxicModel:
             h = words.hashes(stem)
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = todo & (keys[at] == h)
-            out[hit] = scores[at[hit]] - self.drift
+            out[hit] = scores[at[hit]]
             todo &= ~hit
-        return out
+        up = np.flatnonzero(out > 0)
+        if len(up):
+            row, h = words.row[up], words.hashes()[up]
+            order = np.lexsort((up, h, row))
+            new = np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])])
+            first = np.flatnonzero(new)
+            times = np.empty(len(up))
+            times[order] = np.arange(len(up)) - np.repeat(first, np.diff(np.append(first, len(up)))) + 1
+            out[up] /= times
+        return out - self.drift
 
     def expected(self, score: float, n: int) -> float:
         """How many segments of this score or more clean text of n tokens has on average."""
@@ -104,7 +119,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _unit_counts(labelled: DataFrame, least: int) -> DataFrame:
-    """(stem, unit, toxic, clean): how many documents of either class have each unit.
+    """(stem, unit, fold, toxic, clean): how many documents of either class, and of either fold, have each unit.
 
     A word counts towards its stems by at most `least` documents, in proportion of its classes, so that a stem is
     judged by many words and not by a frequent one.
@@ -112,7 +127,7 @@ def _unit_counts(labelled: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
+            toxic, fold = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in (1, 2))
             for first, last, data, at in blocks(batch.column(0)):
                 words = Words(data, at)
                 if not len(words):
@@ -121,24 +136,24 @@ def _unit_counts(labelled: DataFrame, least: int) -> DataFrame:
                 order = np.lexsort((row, h))
                 hs, r = h[order], row[order]
                 new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (r[1:] != r[:-1])])
-                hs, mine = hs[new], toxic[first:last][r[new]]
+                hs, mine, half = hs[new], toxic[first:last][r[new]].astype(np.int64), fold[first:last][r[new]].astype(np.int64)
                 starts = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-                n = np.diff(np.append(starts, len(hs)))
-                yes = np.add.reduceat(mine.astype(np.int64), starts)
                 example = order[new][starts]  # any one place of each word
                 units = [pa.array(words.hashes(stem)[example].view(np.int64)) for stem in STEMS]
-                yield pa.RecordBatch.from_arrays([*units, pa.array(yes), pa.array(n - yes)], [*(f"u{stem}" for stem in STEMS), "toxic", "clean"])
+                sums = [pa.array(np.add.reduceat((mine == c) & (half == f), starts, dtype=np.int64)) for f in (0, 1) for c in (1, 0)]
+                yield pa.RecordBatch.from_arrays([*units, *sums], [*(f"u{stem}" for stem in STEMS), "t0", "c0", "t1", "c1"])
 
     units = ", ".join(f"u{stem} long" for stem in STEMS)
-    words = labelled.mapInArrow(run, f"{units}, toxic long, clean long").groupBy(*(f"u{stem}" for stem in STEMS)).agg(F.sum("toxic").cast("double").alias("toxic"), F.sum("clean").cast("double").alias("clean"))
-    share = F.least(F.lit(1.0), F.lit(float(least)) / (F.col("toxic") + F.col("clean")))
-    capped = words.select(F.explode(F.array(*(F.struct(F.lit(stem).alias("stem"), F.col(f"u{stem}").alias("unit")) for stem in STEMS[1:]))).alias("x"), (F.col("toxic") * share).alias("toxic"), (F.col("clean") * share).alias("clean"))
-    stems = capped.groupBy("x.stem", "x.unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    return words.select(F.lit(0).alias("stem"), F.col("u0").alias("unit"), "toxic", "clean").union(stems).where(f"toxic + clean >= {least}")
+    sums = [F.sum(c).cast("double").alias(c) for c in ("t0", "c0", "t1", "c1")]
+    words = labelled.mapInArrow(run, f"{units}, t0 long, c0 long, t1 long, c1 long").groupBy(*(f"u{stem}" for stem in STEMS)).agg(*sums)
+    share = F.least(F.lit(1.0), F.lit(float(least)) / F.expr("t0 + c0 + t1 + c1"))
+    capped = words.select(F.explode(F.array(*(F.struct(F.lit(stem).alias("stem"), F.col(f"u{stem}").alias("unit")) for stem in STEMS[1:]))).alias("x"), *((F.col(c) * share).alias(c) for c in ("t0", "c0", "t1", "c1")))
+    stems = capped.groupBy("x.stem", "x.unit").agg(*sums)
+    return words.select(F.lit(0).alias("stem"), F.col("u0").alias("unit"), "t0", "c0", "t1", "c1").union(stems).where(f"t0 + c0 + t1 + c1 >= {least}")
 
 
 def _without_copies(labelled: DataFrame, coordinates: int = 4) -> DataFrame:
-    """(text, toxic) with one document of those that share any of a few MinHash coordinates.
+    """(doc_id, text, toxic) with one document of those that share any of a few MinHash coordinates.
 
     A toxic document with many copies would make all of its words look toxic.
     """
@@ -158,7 +173,7 @@ def _without_copies(labelled: DataFrame, coordinates: int = 4) -> DataFrame:
     keys = rows.select("doc_id", *(F.col("minima")[i].alias(f"c{i}") for i in range(coordinates)))
     for i in range(coordinates):
         keys = keys.join(keys.groupBy(f"c{i}").agg(F.min("doc_id").alias("doc_id")), [f"c{i}", "doc_id"], "left_semi")
-    return labelled.join(F.broadcast(keys.select("doc_id").distinct()), "doc_id", "left_semi").select("text", "toxic")
+    return labelled.join(F.broadcast(keys.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text", "toxic")
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +222,7 @@ def calibrate(scores: np.ndarray, weights: np.ndarray, length: int = 2000, texts
     return lam, max(min(k, 1.0), isolated)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 40_000, prior: float = 2_000.0, least: int = 5, z: float = 2.5, drift: float = 0.3) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 40_000, prior: float = 2_000.0, least: int = 5, z: float = 1.5, drift: float = 0.1) -> ToxicModel:
     """Token scores from labelled documents.
 
     sample: at most about so many labelled documents are learned from, half of each class, those whose hash of doc_id comes
@@ -220,33 +235,55 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 40_000, prior: float
     # at most `sample` rows of two numbers: small by the bound, whatever the size of the labels
     sampled = F.broadcast(halves[0].union(halves[1]).select("doc_id", "toxic"))
     known = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sampled, "doc_id"), "labelled")
-    counts = _unit_counts(_without_copies(known), least).toArrow()
+    lone = written(_without_copies(known).select("text", "toxic", F.expr("pmod(xxhash64(doc_id, 1), 2)").cast("int").alias("fold")), "lone")
+    counts = _unit_counts(lone, least).toArrow()
     stem, unit = counts["stem"].to_numpy(), counts["unit"].to_numpy().view(np.uint64)
-    toxic, clean = counts["toxic"].to_numpy().astype(float), counts["clean"].to_numpy().astype(float)
-    whole = stem == 0
-    n_toxic, n_clean = toxic[whole].sum(), clean[whole].sum()
-    none = np.zeros(0, np.uint64), np.zeros(0)
-    if not n_toxic or not n_clean:
-        return ToxicModel((none[0],) * len(STEMS), (none[1],) * len(STEMS), drift, 1.0, 1.0)
+    t0, c0, t1, c1 = (counts[c].to_numpy() for c in ("t0", "c0", "t1", "c1"))
+    model = _scored(stem, unit, t0 + t1, c0 + c1, prior, least, z, drift)
+    if not model.known:
+        return model
+    halves = [_scored(stem, unit, t1, c1, prior, least, z, drift), _scored(stem, unit, t0, c0, prior, least, z, drift)]
+    seen = _clean_scores(lone, halves).toArrow()
+    scores, weights = seen["score"].to_numpy(), seen["n"].to_numpy().astype(float)
+    # a hit of the best score that has not been seen yet counts half
+    top = float(max(s.max() for s in model.scores if len(s))) - drift
+    scores, weights = np.append(scores, top), np.append(weights, 0.5)
+    if not (scores < 0).any():
+        return model
+    lam, k = calibrate(scores, weights)
+    return ToxicModel(model.keys, model.scores, drift, lam, k)
+
+
+def _scored(stem: np.ndarray, unit: np.ndarray, toxic: np.ndarray, clean: np.ndarray, prior: float, least: int, z: float, drift: float) -> ToxicModel:
+    """The model of these counts, not yet calibrated."""
+    n_toxic, n_clean = toxic[stem == 0].sum(), clean[stem == 0].sum()
     keys, scores = [], []
     for s in STEMS:
-        mine = np.flatnonzero(stem == s)
+        mine = np.flatnonzero((stem == s) & (toxic + clean >= least)) if n_toxic and n_clean else np.zeros(0, np.int64)
         mine = mine[np.argsort(unit[mine])]
-        ratio, sd = log_odds(toxic[mine], clean[mine], n_toxic, n_clean, prior)
+        ratio, sd = log_odds(toxic[mine], clean[mine], max(n_toxic, 1.0), max(n_clean, 1.0), prior)
         sure = np.maximum(ratio - z * sd, 0.0) + np.maximum(np.minimum(ratio + z * sd, 0.0), -1.0)
         if s:  # a stem says only that a word is toxic
             mine, sure = mine[sure > 0], sure[sure > 0]
         keys.append(unit[mine])
         scores.append(sure)
-    flat = scores[0] - drift
-    weight = clean[whole][np.argsort(unit[whole])] + prior * (toxic + clean)[whole][np.argsort(unit[whole])] / (n_toxic + n_clean)
-    # clean text as the prior sees it, thinned for units seen in toxic text alone
-    weight = np.where(flat > 0, clean[whole][np.argsort(unit[whole])] + 0.5, weight)
-    model = ToxicModel(tuple(keys), tuple(scores), drift, 1.0, 1.0)
-    if not model.known or not (flat > 0).any():
-        return model
-    lam, k = calibrate(flat, weight)
-    return ToxicModel(tuple(keys), tuple(scores), drift, lam, k)
+    return ToxicModel(tuple(keys), tuple(scores), drift, 1.0, 1.0)
+
+
+def _clean_scores(lone: DataFrame, halves: list[ToxicModel], step: float = 0.02) -> DataFrame:
+    """(score, n): how often the tokens of clean documents have each score, by the model that has not seen them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold = batch.column(1).to_numpy()
+            for first, last, data, at in blocks(batch.column(0)):
+                words = Words(data, at)
+                half = fold[first:last][words.row]
+                both = np.where(half == 0, halves[0].token_scores(words), halves[1].token_scores(words))
+                steps, n = np.unique(np.round(both / step).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(steps * step), pa.array(n)], ["score", "n"])
+
+    return lone.where("not toxic").select("text", "fold").mapInArrow(run, "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
 
 
 def _find(words: Words, model: ToxicModel, most: float) -> Iterator[tuple[int, int, int, int, float, float]]:
@@ -263,7 +300,7 @@ def _find(words: Words, model: ToxicModel, most: float) -> Iterator[tuple[int, i
 PASSAGES = "doc_id long, first_word int, end_word int, n_words int, score double, e_value double, passage string"
 
 
-def toxic_passages(docs: DataFrame, model: ToxicModel, expected: float = 0.05) -> DataFrame:
+def toxic_passages(docs: DataFrame, model: ToxicModel, expected: float = 0.01) -> DataFrame:
     """Every significant toxic passage: its words from first_word up to end_word, its score and its text.
 
     e_value is the number of such passages that clean text of the same length has by chance.
@@ -291,7 +328,7 @@ def toxic_passages(docs: DataFrame, model: ToxicModel, expected: float = 0.05) -
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PASSAGES)
 
 
-def is_toxic(model: ToxicModel, expected: float = 0.05):
+def is_toxic(model: ToxicModel, expected: float = 0.01):
     """A column function of a text: whether it has a significant toxic passage; null and empty texts have none."""
 
     @F.arrow_udf("boolean")
@@ -305,7 +342,7 @@ def is_toxic(model: ToxicModel, expected: float = 0.05):
     return toxic
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, expected: float = 0.05, **how) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, expected: float = 0.01, **how) -> DataFrame:
     """The documents without those that have a significant toxic passage; the model is learned from `labels`."""
     model = train(docs, labels, **how)
     return docs.where(~is_toxic(model, expected)("text")) if model.known else docs
