@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gritsieve.llm.shared import word_count, written
+from gritsieve.llm.shared import text_counts, word_count, written
 
 BUCKETS = 4096
 _NONE = "\x00none"
@@ -29,9 +29,8 @@ _NONE = "\x00none"
 
 def noise_weight(text: str = "text") -> Column:
     """A document's quality weight: its words over its words and noise characters together."""
-    words = word_count(text)
-    noise = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[$%&#*!|]"))
-    return F.when(words > 0, words.cast("double") / (words + noise).cast("double")).otherwise(F.lit(1.0))
+    counts = text_counts(text)
+    return F.when(counts["words"] > 0, counts["words"].cast("double") / (counts["words"] + counts["noise"]).cast("double")).otherwise(F.lit(1.0))
 
 
 def sampling_key(doc_id: Column, weight: Column, seed: int, least_weight: float) -> Column:
@@ -41,12 +40,17 @@ def sampling_key(doc_id: Column, weight: Column, seed: int, least_weight: float)
     return -F.log(u) / F.when(weight > 0, weight).otherwise(F.lit(least_weight))
 
 
-def cuts(docs: DataFrame, targets: DataFrame | None, budget: int | None, tokens: Column, key: Column, buckets: int = BUCKETS) -> DataFrame:
-    """(source, epochs, cut_key, cut_id) for each source that gets anything, source with its null replaced."""
-    rows = docs.select(F.coalesce(F.col("source"), F.lit(_NONE)).alias("source"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), tokens.alias("tokens"), key.alias("key"))
-    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
-    # one narrow table, read for the sums and for the boundary
-    rows = written(rows, "keys")
+_LEAST_ID = -(2**63)
+
+
+def keyed(docs: DataFrame, tokens: Column, key: Column, buckets: int = BUCKETS) -> DataFrame:
+    """(source, doc_id, tokens, key, bucket) of every document, nulls replaced: the one narrow table that all sums are taken from."""
+    rows = docs.select(F.coalesce(F.col("source"), F.lit(_NONE)).alias("source"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("doc_id"), tokens.alias("tokens"), key.alias("key"))
+    return written(rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int")), "keys")
+
+
+def cuts(rows: DataFrame, targets: DataFrame | None, budget: int | None) -> DataFrame:
+    """(source, epochs, cut_key, cut_id) from keyed rows, for each source that gets anything."""
     sums = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens"))
     total = sums.groupBy("source").agg(F.sum("tokens").alias("total")).where("total > 0")
     if targets is None:
@@ -75,30 +79,43 @@ def cuts(docs: DataFrame, targets: DataFrame | None, budget: int | None, tokens:
     return plan.join(chosen, "source", "left").join(lower, "source", "left").select("source", "epochs", F.coalesce("cut.key", "low.key").alias("cut_key"), F.coalesce("cut.doc_id", "low.doc_id").alias("cut_id")).where("epochs > 0 or cut_key is not null")
 
 
-def copies(docs: DataFrame, targets: DataFrame | None = None, budget: int | None = None, tokens: Column | None = None, weight: Column | None = None, seed: int = 17, least_weight: float = 0.01, buckets: int = BUCKETS) -> DataFrame:
-    """The documents with `copies` (how often each is taken) and `tokens`, without those that aren't taken.
+_TAKEN = "_mix_key < _mix_cut_key or (_mix_key = _mix_cut_key and _mix_id <= _mix_cut_id)"
+
+
+def _with_copies(wide: DataFrame, rows: DataFrame, targets: DataFrame | None, budget: int | None) -> DataFrame:
+    """wide, which has _mix_source, _mix_id and _mix_key, with _mix_copies, without the rows that aren't taken.
+
+    The cuts are a row for each source; Catalyst broadcasts them as long as their written table is small.
+    """
+    cut = written(cuts(rows, targets, budget), "cuts").select(F.col("source").alias("_mix_cut_source"), F.col("epochs").alias("_mix_epochs"), F.col("cut_key").alias("_mix_cut_key"), F.col("cut_id").alias("_mix_cut_id"))
+    both = wide.join(cut, F.col("_mix_source") == F.col("_mix_cut_source"))
+    return both.withColumn("_mix_copies", F.col("_mix_epochs") + F.coalesce(F.expr(_TAKEN), F.lit(False)).cast("long")).where("_mix_copies > 0")
+
+
+def _columns(docs: DataFrame, tokens: Column | None, weight: Column | None, seed: int, least_weight: float) -> tuple[Column, Column]:
+    return (word_count() if tokens is None else tokens), sampling_key(F.col("doc_id"), noise_weight() if weight is None else weight, seed, least_weight)
+
+
+def sampled(docs: DataFrame, targets: DataFrame | None = None, budget: int | None = None, tokens: Column | None = None, weight: Column | None = None, seed: int = 17, least_weight: float = 0.01, buckets: int = BUCKETS) -> DataFrame:
+    """(doc_id, source, tokens, copies) of the documents taken; texts are read once.
 
     targets: (source, weight), all sources alike if None.  budget: tokens to take; if None, the tokens of all sources
     that have a target.  tokens: of a document, its words if None.  weight: its quality, `noise_weight` if None.
     """
-    tokens = word_count() if tokens is None else tokens
-    key = sampling_key(F.col("doc_id"), noise_weight() if weight is None else weight, seed, least_weight)
-    table = written(cuts(docs, targets, budget, tokens, key, buckets), "cuts")
-    cut = table.select(F.col("source").alias("_cut_source"), "epochs", "cut_key", "cut_id")
-    cut = cut.select(*(F.col(c).alias(f"_mix_{c}") for c in cut.columns))
-    wide = docs.select("*", tokens.alias("_mix_tokens"), key.alias("_mix_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_mix_id"), F.coalesce(F.col("source"), F.lit(_NONE)).alias("_mix_source"))
-    both = wide.join(cut, F.col("_mix_source") == F.col("_mix__cut_source"))
-    taken = F.expr("_mix_key < _mix_cut_key or (_mix_key = _mix_cut_key and _mix_id <= _mix_cut_id)")
-    both = both.withColumn("_mix_copies", F.col("_mix_epochs") + F.coalesce(taken, F.lit(False)).cast("long")).where("_mix_copies > 0")
-    return both.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_mix_tokens").alias("_tokens"), F.col("_mix_copies").alias("_copies"))
-
-
-def sampled(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, source, tokens, copies) of the documents taken."""
-    return copies(docs.select("doc_id", "source", "text"), **how).select("doc_id", "source", F.col("_tokens").alias("tokens"), F.col("_copies").alias("copies"))
-
-
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents taken, each as many times as it is taken, with their own columns."""
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return copies(docs, **how).select(*(F.col(f"`{c}`") for c in docs.columns), times.alias("_time")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = keyed(docs, *_columns(docs, tokens, weight, seed, least_weight), buckets)
+    wide = rows.select("tokens", F.col("source").alias("_mix_source"), F.col("doc_id").alias("_mix_id"), F.col("key").alias("_mix_key"))
+    taken = _with_copies(wide, rows, targets, budget)
+    return taken.select(F.expr(f"nullif(_mix_id, {_LEAST_ID + 1}L - 1)").alias("doc_id"), F.nullif(F.col("_mix_source"), F.lit(_NONE)).alias("source"), "tokens", F.col("_mix_copies").alias("copies"))
+
+
+def mixed(docs: DataFrame, targets: DataFrame | None = None, budget: int | None = None, tokens: Column | None = None, weight: Column | None = None, seed: int = 17, least_weight: float = 0.01, buckets: int = BUCKETS) -> DataFrame:
+    """The documents taken, each as many times as it is taken, with their own columns; options as in `sampled`.
+
+    Keys are computed again where the documents are read for good: that is cheaper than a join of their texts.
+    """
+    words, key = _columns(docs, tokens, weight, seed, least_weight)
+    rows = keyed(docs, words, key, buckets)
+    wide = docs.select("*", key.alias("_mix_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("_mix_id"), F.coalesce(F.col("source"), F.lit(_NONE)).alias("_mix_source"))
+    taken = _with_copies(wide, rows, targets, budget)
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))
+    return taken.select(*(F.col(f"`{c}`") for c in docs.columns), times.alias("_mix_time")).drop("_mix_time")

@@ -1,12 +1,18 @@
-"""The folder that all executors share, and tables written there to cut lineage."""
+"""The folder that all executors share, tables written there to cut lineage, and counts that several operators need."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gritsieve.llm.blocks import blocks
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +43,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def word_count(text: str = "text"):
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_NOISE = np.zeros(256, bool)
+_NOISE[list(b"$%&#*!|")] = True
+
+
+def counts_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words between ASCII white space, noise characters) of each text of a block."""
+    blank = _BLANK[data]
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    firsts = at[:-1][np.diff(at) > 0]
+    begins[firsts] = ~blank[firsts]
+    n = len(at) - 1
+    words = np.diff(np.searchsorted(np.flatnonzero(begins), at))
+    noise = np.diff(np.searchsorted(np.flatnonzero(_NOISE[data]), at))
+    return words.reshape(n), noise.reshape(n)
+
+
+@lru_cache(maxsize=1)
+def _counter():
+    @F.arrow_udf(T.StructType([T.StructField("words", T.LongType()), T.StructField("noise", T.LongType())]))
+    def counts(text: pa.Array) -> pa.Array:
+        parts = [counts_of(data, at) for _, _, data, at in blocks(text)]
+        words, noise = (np.concatenate([p[i] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for i in (0, 1))
+        return pa.StructArray.from_arrays([pa.array(words), pa.array(noise)], ["words", "noise"])
+
+    return counts
+
+
+def text_counts(text: str = "text") -> Column:
+    """A struct of the words and the noise characters of a text column, counted on its bytes; null and blank texts have no word.
+
+    Counting in numpy takes a fraction of the time of regular expressions in the JVM, even with the texts' way to Python.
+    """
+    return _counter()(F.col(text))
+
+
+def word_count(text: str = "text") -> Column:
     """Words between ASCII white space in a text column; null and blank texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"[ \t\n\x0B\f\r]+"))).cast("long")
+    return text_counts(text)["words"]
