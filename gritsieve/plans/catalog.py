@@ -24,6 +24,7 @@ from gritsieve.plans import sinks
 from gritsieve.plans.config import ScanConfig
 from gritsieve.sources import files, ignore
 from gritsieve.sources.reference import alias_ref, license_ref
+from gritsieve.sources.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -456,8 +457,9 @@ def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def file_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of files made for the purpose, with an archive and ignore files; it needs a folder that the tasks share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else "")
-    root = tempfile.mkdtemp(prefix="tree-", dir=shared.removeprefix("file://") or None)
+    shared = shared_folder(spark).removeprefix("file://")
+    os.makedirs(shared, exist_ok=True)
+    root = tempfile.mkdtemp(prefix="tree-", dir=shared)
     for name, body in (("LICENSE", "MIT License\n"), ("src/a.py", "# SPDX-License-Identifier: MIT\n"), ("src/.hidden.py", "x"), (".gitignore", "build/\n"), ("build/out.js", "x"), ("src/_priv/c.py", "x")):
         os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
         with open(os.path.join(root, name), "w", encoding="utf-8") as f:

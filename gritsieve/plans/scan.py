@@ -13,6 +13,7 @@ from gritsieve.operators.cache import ResultsCache, with_cache
 from gritsieve.plans.analysers import Analyser, default_analysers
 from gritsieve.plans.config import ScanConfig, merged_options
 from gritsieve.sources.files import file_tree
+from gritsieve.sources.tables import kept
 
 FINDINGS = "relpath string, category string, data string, ord int"
 _LICENSE = "struct<key:string,score:double,spdx:string,licenses:array<string>,copyright:array<struct<clause:string,holders:array<string>>>,authors:array<string>>"
@@ -21,7 +22,7 @@ _COMMENT = "struct<line:int,endLine:int,key:string,licenses:array<string>,copyri
 
 @dataclass(frozen=True)
 class ScanFrames:
-    """The results of a scan, all lazy; findings are kept once they have been computed."""
+    """The results of a scan, lazy but for the findings, which are written to the shared folder."""
 
     files: DataFrame
     ignored: DataFrame
@@ -114,8 +115,8 @@ def scan_files(files: DataFrame, ref: DataFrame, aliases: DataFrame, config: Sca
     findings, store = analysed(routed, analysers, config, cache)
     for step in after:
         findings = step(findings)
-    # results, summary and statistics all read the findings, which are few beside the files; a lost part is computed again
-    findings = findings.persist()
+    # results, summary and statistics all read the findings, which are few beside the files
+    findings = kept(findings, "findings")
     errors = routed.where("content is null").select("relpath", F.lit("read").alias("category"), F.lit("the file could not be read").alias("message"))
     ignored = spark.createDataFrame([], "relpath string, reason string") if ignored is None else ignored
     options = merged_options(*(a.options() for a in analysers))
