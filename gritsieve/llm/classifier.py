@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritsieve.llm.blocks import Words, blocks
+from gritsieve.llm.shared import small_batches
 
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "word_bytes_sd", "upper", "lower", "digit", "space", "newline", "wide", "stop", "noise", "pipe",
@@ -189,7 +190,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(STATISTICS), dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), listed], names=["doc_id", "good", "x"])
 
-    return docs.select("doc_id", "text", "good").mapInArrow(run, _ROW)
+    return small_batches(docs).select("doc_id", "text", "good").mapInArrow(run, _ROW)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **how) -> Trees:
@@ -220,4 +221,4 @@ def quality_scores(docs: DataFrame, trees: Trees, threshold: float = 0.5) -> Dat
                 s = trees.scores(statistics_of(data, at))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(s), pa.array(s >= threshold)], names=["doc_id", "quality_score", "keep"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, quality_score double, keep boolean")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, quality_score double, keep boolean")

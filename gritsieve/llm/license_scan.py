@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritsieve.llm.blocks import blocks
+from gritsieve.llm.shared import small_batches
 
 TAGS: tuple[str, ...] = ("spdx-license-identifier:", "license-expression:")
 
@@ -214,4 +215,4 @@ def license_findings(docs: DataFrame, tags: Sequence[str] = TAGS, notices: Seque
                 columns = [ids.take(pa.array(which)), *(pa.array(c, t) for c, t in zip(zip(*rows), types[1:]))]
                 yield pa.RecordBatch.from_arrays(columns, fields)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FINDINGS)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FINDINGS)

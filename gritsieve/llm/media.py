@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gritsieve.llm.shared import small_batches
+
 CONTAINERS = {b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"mvex", b"moof", b"traf", b"udta", b"mfra"}
 
 
@@ -316,7 +318,7 @@ def media_tracks(media: DataFrame) -> DataFrame:
             if rows:
                 yield flush(rows, keys)
 
-    return media.select(F.col("media_id").cast("long"), "content").mapInArrow(run, TRACKS)
+    return small_batches(media).select(F.col("media_id").cast("long"), "content").mapInArrow(run, TRACKS)
 
 
 # Writing containers: the tables here hold no media, so queries and tests wrap texts as payloads.

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gritsieve.llm.shared import text_counts, word_count, written
+from gritsieve.llm.shared import small_batches, text_counts, word_count, written
 
 BUCKETS = 4096
 _NONE = "\x00none"
@@ -45,7 +45,7 @@ _LEAST_ID = -(2**63)
 
 def keyed(docs: DataFrame, tokens: Column, key: Column, buckets: int = BUCKETS) -> DataFrame:
     """(source, doc_id, tokens, key, bucket) of every document, nulls replaced: the one narrow table that all sums are taken from."""
-    rows = docs.select(F.coalesce(F.col("source"), F.lit(_NONE)).alias("source"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("doc_id"), tokens.alias("tokens"), key.alias("key"))
+    rows = small_batches(docs).select(F.coalesce(F.col("source"), F.lit(_NONE)).alias("source"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("doc_id"), tokens.alias("tokens"), key.alias("key"))
     return written(rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int")), "keys")
 
 

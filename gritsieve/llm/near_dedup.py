@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritsieve.llm.blocks import Words, blocks, mix, shingles
-from gritsieve.llm.shared import written
+from gritsieve.llm.shared import small_batches, written
 
 COORDINATES, SHINGLE, THRESHOLD = 64, 3, 0.45
 
@@ -77,7 +77,7 @@ def signatures(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = S
                 packed = pa.Array.from_buffers(pa.binary(), len(has), [None, ends, pa.py_buffer(np.ascontiguousarray(sig))])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(has + first)), packed, *map(pa.array, hashes)], ["doc_id", "sig", "hi", "lo"])
 
-    narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    narrow = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     return narrow.mapInArrow(run, "doc_id long, sig binary, hi long, lo long")
 
 

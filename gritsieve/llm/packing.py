@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gritsieve.llm.shared import word_count, written
+from gritsieve.llm.shared import small_batches, word_count, written
 
 CAPACITY, UNIT, BUCKETS = 2048, 8, 256
 
@@ -156,7 +156,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, tokens:
     if capacity % unit:
         raise ValueError("unit must divide capacity")
     n = (word_count() if tokens is None else tokens).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n")).where("n > 0")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n")).where("n > 0")
     rows = written(rows, "lengths").selectExpr("doc_id", "n", f"n div {capacity} as full", f"cast(ceil((n % {capacity}) / {unit}) as int) as class", f"cast(pmod(xxhash64(doc_id, n), {buckets}) as int) as bucket")
     # at most (capacity / unit + 1) * buckets rows, whatever the number of documents
     sums = written(rows.groupBy("class", "bucket").agg(F.count("*").alias("rows"), F.sum("full").alias("fulls")), "counts")

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gritsieve.llm import tokenizers
-from gritsieve.llm.shared import written
+from gritsieve.llm.shared import small_batches, written
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ def _judged(scored: DataFrame, m: str, rules: dict[str, Band], least: int) -> Da
 def fertility_report(docs: DataFrame, folder: str = tokenizers.FOLDER, rules: dict[str, Band] = BANDS, least: int = LEAST) -> DataFrame:
     """(doc_id, lang, n_tokens, the measures, keep, reasons) of every document."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    scored = written(docs.select("doc_id", lang.alias("lang"), measures(folder)("text").alias("_m")), "fertility")
+    scored = written(small_batches(docs).select("doc_id", lang.alias("lang"), measures(folder)("text").alias("_m")), "fertility")
     judged = _judged(scored, "_m", rules, least)
     return judged.select("doc_id", "lang", "_m.*", (F.size("_reasons") == 0).alias("keep"), F.array_join("_reasons", ",").alias("reasons"))
 
@@ -143,5 +143,5 @@ def keep_by_rules(docs: DataFrame, folder: str = tokenizers.FOLDER, rules: dict[
     Documents are written with their measures once, so that neither a second reading by the tokenizers nor a join of
     their texts is needed when the bands are known.
     """
-    scored = written(docs.withColumn("_fertility", measures(folder)("text")), "fertility")
+    scored = written(small_batches(docs).withColumn("_fertility", measures(folder)("text")), "fertility")
     return _judged(scored, "_fertility", rules, least).where(F.size("_reasons") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -31,6 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on passes rows to Python in batches of about BATCH_BYTES, unless it sets a size of its own.
+
+    Texts of a task are held in the JVM, in Arrow's memory and in Python at once, so a batch of the default 64 MB
+    costs several times that in each of an executor's workers.  A row larger than a batch is a batch of its own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING).rstrip("bB") == str(_BATCH_DEFAULT):
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/gritsieve/{name}-{uuid.uuid4().hex}"

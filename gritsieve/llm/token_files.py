@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritsieve.llm import tokenizers
+from gritsieve.llm.shared import small_batches
 
 SCHEMA = "doc_id long, n_tokens int, token_ids array<int>"
 STRIPE_BYTES, ROW_STRIDE, FALSE_POSITIVES = 64 << 20, 10_000, 0.01
@@ -48,7 +49,7 @@ def encoded(folder: str = tokenizers.FOLDER, name: str = tokenizers.BYTE_BPE, ba
 
 def tokenized(docs: DataFrame, folder: str = tokenizers.FOLDER, name: str = tokenizers.BYTE_BPE) -> DataFrame:
     """(doc_id, n_tokens, token_ids) of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), encoded(folder, name)("text").alias("token_ids"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), encoded(folder, name)("text").alias("token_ids"))
     return rows.select("doc_id", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), "token_ids")
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from gritsieve.llm.blocks import Words, blocks
 from gritsieve.llm.near_dedup import signatures_of
-from gritsieve.llm.shared import written
+from gritsieve.llm.shared import small_batches, written
 
 STEMS = (0, 6, 5, 4)
 """Units of a word, from the most to the least specific: 0 is the whole word, else a number of leading bytes."""
@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 40_000, prior: float
     halves = [marks.where("toxic" if c else "not toxic").orderBy("order", "doc_id").limit(sample // 2) for c in (1, 0)]
     # at most `sample` rows of two numbers: small by the bound, whatever the size of the labels
     sampled = F.broadcast(halves[0].union(halves[1]).select("doc_id", "toxic"))
-    known = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sampled, "doc_id"), "labelled")
+    known = written(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sampled, "doc_id"), "labelled")
     lone = written(_without_copies(known).select("text", "toxic", F.expr("pmod(xxhash64(doc_id, 1), 2)").cast("int").alias("fold")), "lone")
     counts = _unit_counts(lone, least).toArrow()
     stem, unit = counts["stem"].to_numpy(), counts["unit"].to_numpy().view(np.uint64)
@@ -325,7 +325,7 @@ def toxic_passages(docs: DataFrame, model: ToxicModel, expected: float = 0.01) -
 
     if not model.known:
         return docs.sparkSession.createDataFrame([], PASSAGES)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PASSAGES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PASSAGES)
 
 
 def is_toxic(model: ToxicModel, expected: float = 0.01):

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritsieve.llm.shared import fresh_path, written
+from gritsieve.llm.shared import fresh_path, small_batches, written
 
 MAGIC = b"WARC/"
 HEADER_BYTES = 1 << 16
@@ -221,5 +221,5 @@ def write_pages(pages: DataFrame) -> str:
         fs.move(draft, final)  # a later attempt at the same task replaces the file by an equal one
         yield pa.RecordBatch.from_arrays([pa.array([final])], ["file"])
 
-    pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
+    small_batches(pages).select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
     return folder
