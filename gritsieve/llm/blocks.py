@@ -88,10 +88,10 @@ class Words:
     def __init__(self, data: np.ndarray, at: np.ndarray):
         self.data, self.at = fold(data), at
         is_word = _WORD[self.data]
-        edge = np.empty(len(is_word) + 1, bool)
-        edge[:1] = is_word[:1]
-        edge[-1:] = is_word[-1:]
-        np.not_equal(is_word[1:], is_word[:-1], out=edge[1:-1])
+        edge = np.zeros(len(is_word) + 1, bool)
+        if len(is_word):
+            edge[0], edge[-1] = is_word[0], is_word[-1]
+            np.not_equal(is_word[1:], is_word[:-1], out=edge[1:-1])
         cut = at[1:-1]
         cut = cut[(cut > 0) & (cut < len(is_word))]
         joined = cut[is_word[cut] & is_word[cut - 1]]
