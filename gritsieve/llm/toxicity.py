@@ -222,12 +222,14 @@ def calibrate(scores: np.ndarray, weights: np.ndarray, length: int = 2000, texts
     return lam, max(min(k, 1.0), isolated)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 40_000, prior: float = 2_000.0, least: int = 5, z: float = 1.5, drift: float = 0.1) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 40_000, prior: float = 2_000.0, least: int = 5, z: float = 1.5, drift: float = 0.1, weak: float = 0.7) -> ToxicModel:
     """Token scores from labelled documents.
 
     sample: at most about so many labelled documents are learned from, half of each class, those whose hash of doc_id comes
     first; the bound is on the training of a classifier only.  prior: weight of the Dirichlet prior in counts.  least:
     a unit with fewer counts backs off to a shorter stem.  z: standard deviations of the confidence bound.
+    weak: what a word says of toxicity counts from this score on, so that the many words that lean a little that way, such
+    as those of the language of some toxic documents, don't add up to a passage.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     marks = marks.withColumn("order", F.xxhash64("doc_id"))
@@ -239,10 +241,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 40_000, prior: float
     counts = _unit_counts(lone, least).toArrow()
     stem, unit = counts["stem"].to_numpy(), counts["unit"].to_numpy().view(np.uint64)
     t0, c0, t1, c1 = (counts[c].to_numpy() for c in ("t0", "c0", "t1", "c1"))
-    model = _scored(stem, unit, t0 + t1, c0 + c1, prior, least, z, drift)
+    model = _scored(stem, unit, t0 + t1, c0 + c1, prior, least, z, drift, weak)
     if not model.known:
         return model
-    halves = [_scored(stem, unit, t1, c1, prior, least, z, drift), _scored(stem, unit, t0, c0, prior, least, z, drift)]
+    halves = [_scored(stem, unit, t1, c1, prior, least, z, drift, weak), _scored(stem, unit, t0, c0, prior, least, z, drift, weak)]
     seen = _clean_scores(lone, halves).toArrow()
     scores, weights = seen["score"].to_numpy(), seen["n"].to_numpy().astype(float)
     # a hit of the best score that has not been seen yet counts half
@@ -254,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 40_000, prior: float
     return ToxicModel(model.keys, model.scores, drift, lam, k)
 
 
-def _scored(stem: np.ndarray, unit: np.ndarray, toxic: np.ndarray, clean: np.ndarray, prior: float, least: int, z: float, drift: float) -> ToxicModel:
+def _scored(stem: np.ndarray, unit: np.ndarray, toxic: np.ndarray, clean: np.ndarray, prior: float, least: int, z: float, drift: float, weak: float) -> ToxicModel:
     """The model of these counts, not yet calibrated."""
     n_toxic, n_clean = toxic[stem == 0].sum(), clean[stem == 0].sum()
     keys, scores = [], []
@@ -263,6 +265,7 @@ def _scored(stem: np.ndarray, unit: np.ndarray, toxic: np.ndarray, clean: np.nda
         mine = mine[np.argsort(unit[mine])]
         ratio, sd = log_odds(toxic[mine], clean[mine], max(n_toxic, 1.0), max(n_clean, 1.0), prior)
         sure = np.maximum(ratio - z * sd, 0.0) + np.maximum(np.minimum(ratio + z * sd, 0.0), -1.0)
+        sure[(sure > 0) & (sure < weak)] = 0.0
         if s:  # a stem says only that a word is toxic
             mine, sure = mine[sure > 0], sure[sure > 0]
         keys.append(unit[mine])
@@ -300,7 +303,7 @@ def _find(words: Words, model: ToxicModel, most: float) -> Iterator[tuple[int, i
 PASSAGES = "doc_id long, first_word int, end_word int, n_words int, score double, e_value double, passage string"
 
 
-def toxic_passages(docs: DataFrame, model: ToxicModel, expected: float = 0.01) -> DataFrame:
+def toxic_passages(docs: DataFrame, model: ToxicModel, expected: float = 0.005) -> DataFrame:
     """Every significant toxic passage: its words from first_word up to end_word, its score and its text.
 
     e_value is the number of such passages that clean text of the same length has by chance.
@@ -328,7 +331,7 @@ def toxic_passages(docs: DataFrame, model: ToxicModel, expected: float = 0.01) -
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PASSAGES)
 
 
-def is_toxic(model: ToxicModel, expected: float = 0.01):
+def is_toxic(model: ToxicModel, expected: float = 0.005):
     """A column function of a text: whether it has a significant toxic passage; null and empty texts have none."""
 
     @F.arrow_udf("boolean")
@@ -342,7 +345,7 @@ def is_toxic(model: ToxicModel, expected: float = 0.01):
     return toxic
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, expected: float = 0.01, **how) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, expected: float = 0.005, **how) -> DataFrame:
     """The documents without those that have a significant toxic passage; the model is learned from `labels`."""
     model = train(docs, labels, **how)
     return docs.where(~is_toxic(model, expected)("text")) if model.known else docs

@@ -206,6 +206,8 @@ def page_records(page_id: int | None, url: str | None, html: str | None, quote:
 def write_pages(pages: DataFrame) -> str:
     """Writes (page_id, url, html) as WARC files, one for each partition, to a new folder that all executors share."""
     folder = fresh_path(pages.sparkSession, "warc")
+    fs, name = _open(folder)
+    fs.create_dir(name, recursive=True)  # a table of no partition makes no file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
