@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from gritsieve.functions.lexer import comments
+from gritsieve.functions.spdx import expression_error
+from gritsieve.functions.text import directory, license_tag
 from gritsieve.operators import gates, summary
 from gritsieve.operators.cache import ResultsCache, with_cache
 from gritsieve.plans.analysers import Analyser, default_analysers
@@ -67,8 +70,6 @@ class ScanFrames:
     @property
     def folded(self) -> DataFrame:
         """The facts under the directories that the fold leaves."""
-        from gritsieve.functions.text import directory
-
         facts = self.facts
         dirs = self.findings.select(directory(F.col("relpath")).alias("dir"))
         return summary.merged(facts, summary.fold(facts, dirs))
@@ -100,6 +101,15 @@ def analysed(files: DataFrame, analysers: Sequence[Analyser], config: ScanConfig
     return out, store
 
 
+def failures(routed: DataFrame, config: ScanConfig) -> DataFrame:
+    """(relpath, category, message): files that couldn't be read, sources that the lexer fails on, and tags with unbalanced brackets."""
+    unread = routed.where("content is null").select("relpath", F.lit("read").alias("category"), F.lit("the file could not be read").alias("message"))
+    lexed = comments(routed.where("is_source"), mode=config.lexer_mode).where("error is not null").select("relpath", F.lit("comments").alias("category"), F.col("error").alias("message"))
+    tags = routed.where("is_text").select("relpath", license_tag(F.col("text")).alias("tag")).where("tag is not null")
+    spoiled = tags.select("relpath", F.lit("license").alias("category"), expression_error(F.col("tag")).alias("message")).where("message is not null")
+    return unread.unionByName(lexed).unionByName(spoiled)
+
+
 def scan_files(files: DataFrame, ref: DataFrame, aliases: DataFrame, config: ScanConfig = ScanConfig(), rules: DataFrame | None = None, components: DataFrame | None = None, cache: ResultsCache | None = None, ignored: DataFrame | None = None, analysers: Sequence[Analyser] | None = None, after: Sequence[Callable[[DataFrame], DataFrame]] = (), observe: Observation | None = None) -> ScanFrames:
     """Scans a table of files (see sources.files.FILES).
 
@@ -117,7 +127,7 @@ def scan_files(files: DataFrame, ref: DataFrame, aliases: DataFrame, config: Sca
         findings = step(findings)
     # results, summary and statistics all read the findings, which are few beside the files
     findings = kept(findings, "findings")
-    errors = routed.where("content is null").select("relpath", F.lit("read").alias("category"), F.lit("the file could not be read").alias("message"))
+    errors = failures(routed, config)
     ignored = spark.createDataFrame([], "relpath string, reason string") if ignored is None else ignored
     options = merged_options(*(a.options() for a in analysers))
     return ScanFrames(routed, ignored, findings, errors, config, options, components, store)

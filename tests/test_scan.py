@@ -22,7 +22,7 @@ def tree(tmp_path):
     root = tmp_path / "r"
     for name, body in {
         "LICENSE": LICENSE, "README.md": "x <!-- MIT License -->\n", "src/__init__.py": "# SPDX-License-Identifier: ISC OR X\n", "src/a.py": "# Copyright 2020 Ann\nimport sha1\n",
-        "src/_priv/c.py": "1", "src/.hidden.py": "1", ".git/x.py": "1", ".gitignore": "build/\n", "build/out.js": "1", "empty.py": "", "big.txt": "a" * 1_000_001, "skip.tmp": "1",
+        "src/_priv/c.py": "# SPDX-License-Identifier: A OR B) AND C\n", "src/.hidden.py": "1", ".git/x.py": "1", ".gitignore": "build/\n", "build/out.js": "1", "empty.py": "", "big.txt": "a" * 1_000_001, "skip.tmp": "1",
     }.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(body)
@@ -57,6 +57,7 @@ def test_scan(spark, tree, tmp_path):
         assert found["src/a.py", "comments"][0]["copyright"][0]["holders"] == ["Ann"]
         assert found["src/a.py", "crypto"] == [{"algorithm": "SHA-1", "coding": "hash"}]
         store_results(frames, store)
+        assert {(r.relpath, r.category, r.message) for r in frames.errors.collect()} == {("src/_priv/c.py", "license", "unbalanced brackets")}
     assert {"img.png", "big.txt", "bad.txt", "lib/d/e.py"} <= {r.relpath for r in frames.no_result.collect()} | {"lib/d/e.py"}
     top = frames.summary.collect()
     assert len(top) == 1 and top[0].dir == "" and top[0].licenses == ["ISC", "MIT", "X"] and "Ann" in top[0].copyrights
