@@ -35,6 +35,8 @@ from gritsieve.llm.blocks import Words, blocks, mix, shingles
 from gritsieve.llm.shared import small_batches, written
 
 COORDINATES, SHINGLE, THRESHOLD = 64, 3, 0.45
+BROADCAST_IDS = 2_000_000
+"""Lists of up to so many ids are sent to all executors (16 MB); longer ones are joined by a shuffle of the documents."""
 
 
 def needed(threshold: float, coordinates: int) -> int:
@@ -221,11 +223,17 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     return pairs.join(groups.withColumnRenamed("doc_id", "doc_a"), "doc_a").select("group_id", "doc_a", "doc_b", "matches")
 
 
+def _sent_if_short(ids: DataFrame) -> DataFrame:
+    """A written list of ids, to be broadcast if it is short: then no text has to be shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
     """The documents without all but the lowest doc_id of each group."""
     _, groups = near_groups(docs, **how)
-    gone = groups.where("doc_id != group_id").select(F.col("doc_id").alias("_gone"))
+    gone = _sent_if_short(written(groups.where("doc_id != group_id").select(F.col("doc_id").alias("_gone")), "gone"))
     twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice")
+    twice = _sent_if_short(written(twice, "twice"))
     left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     once = left.join(twice, left["doc_id"] == twice["_twice"], "left_anti")
     again = left.join(twice, left["doc_id"] == twice["_twice"], "left_semi")
