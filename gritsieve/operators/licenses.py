@@ -30,7 +30,7 @@ def similar_matches(texts: DataFrame, ref: DataFrame, key: str = "relpath", text
     A text of a words can only reach the threshold if it shares ceil(t a / (2 - t)) of them, so one of its rarest
     a - ceil(...) + 1 is among those shared, and the same holds for the reference.  Only these are posted and joined,
     rarest first by how many references have a word; words of no reference are the rarest of all.  Each
-    candidate is then counted in full.  Every pair at or above the threshold is found.
+    candidate of a fitting size is then counted in full.  Every pair at or above the threshold is found.
     """
     share = threshold / (2.0 - threshold)
     prefix = lambda n: n - F.ceil(n * F.lit(share) - 1e-9).cast("int") + 1
@@ -38,14 +38,16 @@ def similar_matches(texts: DataFrame, ref: DataFrame, key: str = "relpath", text
     df = ref.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
 
     def posted(rows: DataFrame, name: str, words: str) -> DataFrame:
-        """(name, word) of the prefix of each row, without words that no reference has."""
+        """(name, n, word) of the prefix of each row of n words, without words that no reference has."""
         each = rows.select(name, F.size(words).alias("n"), F.explode(words).alias("word")).join(df, "word")
         known = each.groupBy(name, "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("known"))
         room = prefix(F.col("n")) - (F.col("n") - F.size("known"))
-        return known.where(room > 0).select(name, F.explode(F.slice("known", F.lit(1), room)).alias("x")).select(name, F.col("x.word").alias("word"))
+        return known.where(room > 0).select(name, "n", F.explode(F.slice("known", F.lit(1), room)).alias("x")).select(name, "n", F.col("x.word").alias("word"))
 
     refs = ref.where("n_tokens > 0").select(F.col("key").alias("_key"), F.col("ord").alias("_ord"), F.col("tokens").alias("_ref_words"))
-    pairs = posted(wide, key, "_words").join(posted(refs.select("_key", "_ref_words"), "_key", "_ref_words"), "word").select(key, "_key").distinct()
+    mine, theirs = posted(wide, key, "_words"), posted(refs.select("_key", "_ref_words"), "_key", "_ref_words").withColumnRenamed("n", "_n")
+    # of two sets, the smaller must have at least this share of the larger one's words
+    pairs = mine.join(theirs, "word").where((F.col("n") >= F.col("_n") * share - 1e-9) & (F.col("_n") >= F.col("n") * share - 1e-9)).select(key, "_key").distinct()
     if skip_self:
         pairs = pairs.where(F.col(key).cast("string") != F.col("_key"))
     both = pairs.join(wide, key).join(refs, "_key")
