@@ -58,8 +58,7 @@ class ToxicModel:
     def token_scores(self, words: Words) -> np.ndarray:
         """The score of each word of a block: that of its most specific unit with enough counts.
 
-        The k-th occurrence of a word in a text has a k-th of its positive score: words come in bursts, and one
-        that is a little suspicious doesn't become a proof by repetition.
+        Scores only add up: a word says the same wherever it stands, so that no passage weakens a later one.
         """
         out = np.zeros(len(words))
         todo = np.ones(len(words), bool)
@@ -71,15 +70,6 @@ class ToxicModel:
             hit = todo & (keys[at] == h)
             out[hit] = scores[at[hit]]
             todo &= ~hit
-        up = np.flatnonzero(out > 0)
-        if len(up):
-            row, h = words.row[up], words.hashes()[up]
-            order = np.lexsort((up, h, row))
-            new = np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])])
-            first = np.flatnonzero(new)
-            times = np.empty(len(up))
-            times[order] = np.arange(len(up)) - np.repeat(first, np.diff(np.append(first, len(up)))) + 1
-            out[up] /= times
         return out - self.drift
 
     def expected(self, score: float, n: int) -> float:

@@ -75,6 +75,19 @@ def test_planted_passages(spark):
     assert tx.toxic_passages(repeated, model).count() == 0
 
 
+def test_a_passage_counts_as_much_again_later_in_a_text(spark):
+    passage = [f"zog{c}" for c in "abcdef"]
+    (_, _, data, at), = blocks(pa.array([" ".join(passage)]))
+    none = (np.zeros(0, np.uint64), np.zeros(0))
+    units = [(np.sort(Words(data, at).hashes()), np.ones(6)), none, none, none]
+    model = tx.ToxicModel(tuple(k for k, _ in units), tuple(s for _, s in units), 0.1, 2.5, 0.1)
+    clean = prose(random.Random(3), 2400).split()
+    lone = [w for k in range(6) for w in (*clean[100 * k : 100 * k + 100], passage[k])]
+    texts = [(1, clean[:700] + passage + clean[700:2000] + passage + clean[2000:]), (2, lone + clean[600:900] + passage + clean[900:])]
+    got = tx.toxic_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string"), model).collect()
+    assert sorted((r.doc_id, r.first_word, r.end_word) for r in got) == [(1, 700, 706), (1, 2006, 2012), (2, 906, 912)]
+
+
 def test_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = tx.train(docs, labels.where("doc_id % 2 = 0"))
