@@ -43,7 +43,7 @@ class Band:
 BANDS: dict[str, Band] = {
     "chars_per_token": Band(4.0, 4.0, 0.001, 0.03),
     "byte_share": Band(None, 4.0, 0.0001, 0.01),
-    "entropy": Band(4.0, None, 0.001, 0.06),
+    "entropy": Band(2.0, None, 0.001, 0.06),
     "chars_per_byte_token": Band(4.0, 4.0, 0.001, 0.03),
 }
 LEAST = 30

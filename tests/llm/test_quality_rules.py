@@ -75,3 +75,12 @@ def test_labels_are_followed(spark):
     rows = {r.doc_id: r.keep for r in QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.01").collect()}
     good, bad = (labels[labels.quality == q].doc_id for q in (1, 0))
     assert np.mean([rows[i] for i in good]) > 0.98 and np.mean([rows[i] for i in bad]) < 0.4
+
+
+def test_recall_and_false_rejections(spark):
+    import pandas as pd
+
+    labels = pd.read_parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = {r.doc_id: r.keep for r in QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.1").select("doc_id", "keep").collect()}
+    good, bad = (labels[labels.quality == q].doc_id for q in (1, 0))
+    assert np.mean([rows[i] for i in good]) > 0.998 and np.mean([rows[i] for i in bad]) < 0.1
