@@ -10,12 +10,16 @@ the order, so only those prefixes are posted.  Pairs borne by one document alone
 with m pairs borne by others needs only its m - t + 1 rarest of those posted, and none if m < t.  Pairs that come
 from passages common to many documents are the last in this order and hardly ever posted.  Nothing is capped.
 
-*Skip merging.*  Within a posting list a candidate pair that is joined already through earlier members is
-skipped: what is kept is a spanning set of matching pairs, so a group of n copies yields in the order of n rows
-instead of n squared, and its connected parts are those of all matching pairs.  Every kept pair has been
-counted over its full signatures.
+*All pairs.*  `matching_pairs` counts every candidate pair of every posting list over its full signatures, and gives
+documents with equal signatures the pairs of the one of them that was compared: it has each matching pair once, n (n - 1) / 2
+of them for n copies.
 
-Defined results: documents with equal signatures are joined to the one of the lowest doc_id.  A text without a
+*Skip merging.*  `near_pairs`, which is enough to remove duplicates, skips within a posting list a candidate pair that
+is joined already through earlier members: what is kept is a spanning set of matching pairs, so a group of n copies
+yields in the order of n rows instead of n squared, and its connected parts are those of all matching pairs.  Every
+kept pair has been counted over its full signatures.
+
+Defined results: in `near_pairs`, documents with equal signatures are joined to the one of the lowest doc_id.  A text without a
 word (null, empty, only punctuation) has no signature and is never a duplicate.  Rows with a null doc_id are not
 compared, and `near_dedup` keeps them.  Repeated rows with the same doc_id are one document; `near_dedup` keeps
 one of them.  Extra columns are carried through unchanged; an empty table gives an empty result.
@@ -115,8 +119,19 @@ def _merge_list(ids: np.ndarray, sig: np.ndarray, t: int) -> Iterator[tuple[int,
                 part[part == part[j]] = part[i]
 
 
-def _verify(postings: DataFrame, k: int, t: int) -> DataFrame:
-    """Matching pairs of each posting list; the rows of a list lie together in a partition."""
+def _match_list(ids: np.ndarray, sig: np.ndarray, t: int) -> Iterator[tuple[int, int, int]]:
+    """All matching pairs within one posting list."""
+    for i in range(len(ids) - 1):
+        for first in range(i + 1, len(ids), 10_000):
+            same = (sig[first : first + 10_000] == sig[i]).sum(axis=1)
+            for j in np.flatnonzero(same >= t):
+                a, b = int(ids[i]), int(ids[first + j])
+                yield min(a, b), max(a, b), int(same[j])
+
+
+def _verify(postings: DataFrame, k: int, t: int, spanning: bool = True) -> DataFrame:
+    """Matching pairs of each posting list, all or a spanning set; the rows of a list lie together in a partition."""
+    pairs_of = _merge_list if spanning else _match_list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists():
@@ -148,11 +163,13 @@ def _verify(postings: DataFrame, k: int, t: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*rows), schema.types)], schema=schema)
 
         for ids, sig in lists():
-            if len(ids) > 1:
-                out.extend(_merge_list(ids, sig, t))
-            if len(out) > 50_000:
-                yield batch_of(set(out))
-                out = []
+            if len(ids) < 2:
+                continue
+            for pair in pairs_of(ids, sig, t):
+                out.append(pair)
+                if len(out) > 50_000:
+                    yield batch_of(set(out))
+                    out = []
         if out:
             yield batch_of(set(out))
 
@@ -188,14 +205,8 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id")).union(e.select(F.col("v").alias("doc_id"), F.col("v").alias("group_id"))).distinct()
 
 
-def near_pairs(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, matches) with doc_a < doc_b: a spanning set of the pairs that agree in enough coordinates."""
-    k, t = coordinates, needed(threshold, coordinates)
-    sigs = written(signatures(docs, k, shingle), "signatures")
-    reps = sigs.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    same = sigs.select("doc_id", "hi", "lo").join(reps, ["hi", "lo"]).where("doc_id != rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(k).alias("matches"))
-    lone = sigs.join(reps.withColumnRenamed("rep", "doc_id"), ["hi", "lo", "doc_id"]).dropDuplicates(["hi", "lo"]).select("doc_id", "sig")
-    lone = written(lone, "representatives")
+def _matches(lone: DataFrame, k: int, t: int, spanning: bool) -> DataFrame:
+    """(doc_a, doc_b, matches) of documents with their signatures, all different; the same pair may come several times."""
     borne = _keys(lone, k).selectExpr("doc_id", "key", "count(*) over (partition by key) as n").where("n > 1")
     # a repeated doc_id with two texts counts as two bearers above; here its pairs are merged
     prefix = (
@@ -207,10 +218,35 @@ def near_pairs(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = S
     )
     prefix = prefix.selectExpr("doc_id", "key", "count(*) over (partition by key) as n").where("n > 1").select("doc_id", "key")
     postings = prefix.join(lone, "doc_id").select("key", "doc_id", "sig")
-    pairs = _verify(postings.repartition("key").sortWithinPartitions("key", "doc_id"), k, t)
+    return _verify(postings.repartition("key").sortWithinPartitions("key", "doc_id"), k, t, spanning)
+
+
+def near_pairs(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, matches) with doc_a < doc_b: a spanning set of the pairs that agree in enough coordinates."""
+    k, t = coordinates, needed(threshold, coordinates)
+    sigs = written(signatures(docs, k, shingle), "signatures")
+    reps = sigs.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
+    same = sigs.select("doc_id", "hi", "lo").join(reps, ["hi", "lo"]).where("doc_id != rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(k).alias("matches"))
+    lone = sigs.join(reps.withColumnRenamed("rep", "doc_id"), ["hi", "lo", "doc_id"]).dropDuplicates(["hi", "lo"]).select("doc_id", "sig")
+    pairs = _matches(written(lone, "representatives"), k, t, True)
     return same.union(pairs).where("doc_a != doc_b").groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
 
 
+def matching_pairs(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, matches) with doc_a < doc_b: every pair that agrees in enough coordinates.
+
+    Equal signatures are compared once, under their hash `hi`, and their documents put in for them afterwards.
+    """
+    k, t = coordinates, needed(threshold, coordinates)
+    sigs = written(signatures(docs, k, shingle), "signatures")
+    lone = written(sigs.dropDuplicates(["hi", "lo"]).select(F.col("hi").alias("doc_id"), "sig"), "representatives")
+    met = _matches(lone, k, t, False).groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
+    left, right = (sigs.select(F.col("hi").alias(f"hi_{c}"), F.col("doc_id").alias(c)).distinct() for c in "ab")
+    others = met.withColumnsRenamed({"doc_a": "hi_a", "doc_b": "hi_b"}).join(left, "hi_a").join(right, "hi_b").where("a != b").selectExpr("least(a, b) as doc_a", "greatest(a, b) as doc_b", "matches")
+    equal = left.join(right, F.col("hi_a") == F.col("hi_b")).where("a < b").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.lit(k).alias("matches"))
+    return equal.union(others).groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
+
+
 def near_groups(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
     """(pairs, groups): the pairs of `near_pairs`, and (doc_id, group_id) of every document in one."""
     pairs = written(near_pairs(docs, **how), "pairs")
@@ -223,6 +259,12 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     return pairs.join(groups.withColumnRenamed("doc_id", "doc_a"), "doc_a").select("group_id", "doc_a", "doc_b", "matches")
 
 
+def all_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """(group_id, doc_a, doc_b, matches): every matching pair with its group, named after its lowest doc_id."""
+    pairs = written(matching_pairs(docs, **how), "pairs")
+    return pairs.join(components(pairs).withColumnRenamed("doc_id", "doc_a"), "doc_a").select("group_id", "doc_a", "doc_b", "matches")
+
+
 def _sent_if_short(ids: DataFrame) -> DataFrame:
     """A written list of ids, to be broadcast if it is short: then no text has to be shuffled."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

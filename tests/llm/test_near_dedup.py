@@ -79,6 +79,18 @@ def test_large_groups_and_shared_passages(spark):
     assert rows_of(nd.near_duplicates(docs)) == rows_of(nd.near_duplicates(docs.repartition(7)))
 
 
+def test_the_query_has_every_matching_pair(spark, tmp_path):
+    rng = random.Random(7)
+    base = prose(rng, 120)
+    rows = [(i, base.replace(" ", f" w{i} ", 1)) for i in range(40)] + [(100 + i, base) for i in range(10)] + [(200 + i, prose(rng, 50)) for i in range(5)]
+    rows += [(300, rows[-1][1]), (300, base), (301, rows[-1][1]), (302, None), (None, base)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op2_near_duplicates"](spark, str(tmp_path)).collect()
+    _, pairs = brute(rows)
+    assert len(got) == len(pairs) > 1000 and {(r.doc_a, r.doc_b) for r in got} == pairs
+    assert all(r.matches >= nd.needed(nd.THRESHOLD, nd.COORDINATES) for r in got)
+
+
 def test_recall_of_similar_texts(spark):
     """Pairs of a true similarity well above the threshold are found: at least nine in ten."""
     rng = random.Random(6)
