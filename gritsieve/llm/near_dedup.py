@@ -2,27 +2,28 @@
 
 A document's signature has `coordinates` minima over the hashes of its runs of `shingle` words.  Documents are
 posted under (coordinate, value) pairs; two documents match if they agree in at least `ceil(threshold *
-coordinates)` = t coordinates.
-
-*Prefix merging.*  Order all (coordinate, value) pairs by how many documents bear them, rarest first.  Two
-documents that agree in t of k coordinates share at least one of the first k - t + 1 pairs of either, whatever
-the order, so only those prefixes are posted.  Pairs borne by one document alone produce no candidate; a document
-with m pairs borne by others needs only its m - t + 1 rarest of those posted, and none if m < t.  Pairs that come
-from passages common to many documents are the last in this order and hardly ever posted.  Nothing is capped.
-
-*All pairs.*  `matching_pairs` counts every candidate pair of every posting list over its full signatures, and gives
-documents with equal signatures the pairs of the one of them that was compared: it has each matching pair once, n (n - 1) / 2
-of them for n copies.
-
-*Skip merging.*  `near_pairs`, which is enough to remove duplicates, skips within a posting list a candidate pair that
-is joined already through earlier members: what is kept is a spanning set of matching pairs, so a group of n copies
-yields in the order of n rows instead of n squared, and its connected parts are those of all matching pairs.  Every
-kept pair has been counted over its full signatures.
-
-Defined results: in `near_pairs`, documents with equal signatures are joined to the one of the lowest doc_id.  A text without a
-word (null, empty, only punctuation) has no signature and is never a duplicate.  Rows with a null doc_id are not
-compared, and `near_dedup` keeps them.  Repeated rows with the same doc_id are one document; `near_dedup` keeps
-one of them.  Extra columns are carried through unchanged; an empty table gives an empty result.
+coordinates)` = t coordinates.  Equal signatures form one *node*, which is compared once for all of its documents.
+
+*Prefix merging.*  Order all (coordinate, value) pairs by how many nodes bear them, rarest first.  Two nodes that
+agree in t of k coordinates share at least one of the first k - t + 1 pairs of either, whatever the order, so only
+those prefixes are posted.  Pairs borne by one node alone produce no candidate; a node with m pairs borne by others
+needs only its m - t + 1 rarest of those posted, and none if m < t.  Pairs that come from passages common to many
+documents are the last in this order and hardly ever posted.  Nothing is capped.
+
+*Long lists.*  A posting list of more than BLOCK nodes is cut into salted parts; every two parts meet in a block of
+their own, so that no task holds more than two parts, however long the list, and no pair is lost.
+
+*Skip merging.*  Two nodes may meet in several lists.  `near_classes` counts a pair only in the list of the lowest
+coordinate that both have in their prefixes, and skips it in the others: each matching pair counts exactly once, and no list of
+pairs is ever written.  `near_groups`, which is enough to remove duplicates, skips a candidate pair that is joined already
+through earlier members of its block, so that n copies cost in the order of n comparisons; its connected parts are those of
+all matching pairs.
+
+Defined results: a text without a word (null, empty, only punctuation) has no signature and is never a duplicate.
+Rows with a null doc_id are not compared, and `near_dedup` keeps them.  Repeated rows with the same doc_id are one
+document; `near_dedup` keeps one of them.  A doc_id that comes with several texts has the links of each of them, summed,
+and joins their classes.  Classes are named after their lowest doc_id, so ties can't arise.  A very long text has a signature
+like any other.  Extra columns are carried through unchanged whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritsieve.llm.blocks import Words, blocks, mix, shingles
-from gritsieve.llm.shared import small_batches, written
+from gritsieve.llm.shared import discard, scratch, small_batches, unused, written
 
 COORDINATES, SHINGLE, THRESHOLD = 64, 3, 0.45
+BLOCK, SMALL = 4096, 48
+"""Nodes of a posting list that meet in one block at most (twice as many where two parts meet); lists up to SMALL are compared many at once."""
 BROADCAST_IDS = 2_000_000
 """Lists of up to so many ids are sent to all executors (16 MB); longer ones are joined by a shuffle of the documents."""
 
@@ -102,78 +105,169 @@ def _keys(reps: DataFrame, k: int) -> DataFrame:
     return reps.select("doc_id", "sig").mapInArrow(run, "doc_id long, key long")
 
 
-def _merge_list(ids: np.ndarray, sig: np.ndarray, t: int) -> Iterator[tuple[int, int, int]]:
-    """A spanning set of the matching pairs within one posting list."""
-    n = len(ids)
-    part = np.arange(n)
-    for i in range(n - 1):
-        rest = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
-        if not len(rest):
-            if (part == part[0]).all():
-                return
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The lowest of the numbers below n that each is connected with by the pairs (i, j)."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        np.minimum.at(label, before[i], low)
+        np.minimum.at(label, before[j], low)
+        label = label[label]
+        if (label[i] == label[j]).all() and (label == label[label]).all():
+            break
+    return label
+
+
+def _small_pairs(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows within each of the runs of rows between bounds."""
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    later = ends - np.arange(len(ends)) - 1
+    i = np.repeat(np.arange(len(ends)), later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    return i, j
+
+
+def _small_matches(sig: np.ndarray, mask: np.ndarray, coordinate: np.ndarray, bounds: np.ndarray, t: int, first_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The matching pairs of many short lists at once; with first_only, those that share no prefix of a lower coordinate."""
+    i, j = _small_pairs(bounds)
+    bits = np.uint64(1) << np.arange(sig.shape[1], dtype=np.uint64)
+    kept = []
+    for at in range(0, len(i), 8192):
+        a, b = i[at : at + 8192], j[at : at + 8192]
+        same = sig[a] == sig[b]
+        hit = np.flatnonzero(same.sum(axis=1) >= t)
+        if first_only and len(hit):
+            both = np.where(same[hit], bits, np.uint64(0)).sum(axis=1, dtype=np.uint64) & mask[a[hit]] & mask[b[hit]]
+            hit = hit[(both & ((np.uint64(1) << coordinate[a[hit]].astype(np.uint64)) - np.uint64(1))) == 0]
+        kept.append(hit + at)
+    hits = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return i[hits], j[hits]
+
+
+def _block_matches(sig: np.ndarray, mask: np.ndarray, coordinate: int, left: np.ndarray, right: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The matching pairs of one from left and a later one, or any, from right, that share no prefix of a lower coordinate."""
+    k, whole = sig.shape[1], left is right
+    value = sig.T.astype(np.int64)
+    # a coordinate that isn't in a node's prefix gets a value that nothing else has
+    bit = (mask[None, :] >> np.arange(k, dtype=np.uint64)[:, None]) & np.uint64(1)
+    own = np.where(bit > 0, value, (np.int64(1) << 40) + np.arange(sig.shape[0]))
+    sig_t = np.ascontiguousarray(sig.T)
+    for at in range(0, len(left), 64):
+        a = left[at : at + 64]
+        b = right[at:] if whole else right
+        count = np.zeros((len(a), len(b)), np.uint8)
+        for c in range(k):
+            count += sig_t[c, a][:, None] == sig_t[c, b][None, :]
+        hit = count >= t
+        if whole:
+            hit &= np.arange(len(b))[None, :] > np.arange(len(a))[:, None]
+        if not hit.any():
             continue
-        same = (sig[rest] == sig[i]).sum(axis=1)
-        for j, m in zip(rest[same >= t], same[same >= t]):
-            if part[j] != part[i]:
-                yield int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), int(m)
-                part[part == part[j]] = part[i]
+        for c in range(coordinate):
+            if bit[c, a].any():
+                hit &= own[c, a][:, None] != own[c, b][None, :]
+        x, y = np.nonzero(hit)
+        yield a[x], b[y]
+
+
+def _block_parts(sig: np.ndarray, left: np.ndarray, right: np.ndarray, t: int) -> np.ndarray:
+    """The part that each row is connected with by matching pairs, leaving out comparisons within a part."""
+    whole = left is right
+    part = np.arange(len(sig))
+    for x, i in enumerate(left):
+        others, at, step = right[x + 1 :] if whole else right, 0, 64
+        while at < len(others):
+            j = others[at : at + step]
+            at, step = at + step, min(4 * step, 4096)
+            j = j[part[j] != part[i]]
+            if len(j):
+                for p in np.unique(part[j[(sig[j] == sig[i]).sum(axis=1) >= t]]):
+                    part[part == p] = part[i]
+        if x % 64 == 0 and (part == part[0]).all():
+            break
+    return part
+
 
+_FOUND = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
-def _match_list(ids: np.ndarray, sig: np.ndarray, t: int) -> Iterator[tuple[int, int, int]]:
-    """All matching pairs within one posting list."""
-    for i in range(len(ids) - 1):
-        for first in range(i + 1, len(ids), 10_000):
-            same = (sig[first : first + 10_000] == sig[i]).sum(axis=1)
-            for j in np.flatnonzero(same >= t):
-                a, b = int(ids[i]), int(ids[first + j])
-                yield min(a, b), max(a, b), int(same[j])
 
+def _verify(postings: DataFrame, k: int, t: int, counted: bool) -> DataFrame:
+    """(node, root, links) of the nodes that match any in their block; root is connected with node.
 
-def _verify(postings: DataFrame, k: int, t: int, spanning: bool = True) -> DataFrame:
-    """Matching pairs of each posting list, all or a spanning set; the rows of a list lie together in a partition."""
-    pairs_of = _merge_list if spanning else _match_list
+    postings: (key, part_a, part_b, side, node, size, mask, sig), a block's rows lying together.  links: documents of the
+    matching nodes that count here (see above), 0 unless counted.
+    """
+
+    def of_small(rows: list[tuple]) -> pa.RecordBatch | None:
+        sizes = [len(r[1]) for r in rows]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        node, size, mask, sig = (np.concatenate([r[c] for r in rows]) for c in (1, 2, 3, 4))
+        coordinate = np.repeat([r[0] for r in rows], sizes)
+        i, j = _small_matches(sig, mask, coordinate, bounds, t, counted)
+        links = np.bincount(i, size[j], len(node)) + np.bincount(j, size[i], len(node)) if counted else np.zeros(len(node))
+        return batch_of(node, _labels(len(node), i, j), links, np.union1d(i, j))
+
+    def of_block(coordinate: int, node, size, mask, sig, side) -> pa.RecordBatch | None:
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if (side == 2).all():
+            right = left
+        if not counted:
+            part = _block_parts(sig, left, right, t)
+            return batch_of(node, part, np.zeros(len(node)), np.flatnonzero(np.bincount(part, minlength=len(node))[part] > 1))
+        links, label, met = np.zeros(len(node)), np.arange(len(node)), np.zeros(len(node), bool)
+        for i, j in _block_matches(sig, mask, coordinate, left, right, t):
+            links += np.bincount(i, size[j], len(node)) + np.bincount(j, size[i], len(node))
+            label = _labels(len(node), np.concatenate([i, np.arange(len(node))]), np.concatenate([j, label]))
+            met[i] = met[j] = True
+        return batch_of(node, label, links, np.flatnonzero(met))
+
+    def batch_of(node, label, links, which) -> pa.RecordBatch | None:
+        if not len(which):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(node[which]), pa.array(node[label[which]]), pa.array(np.round(links[which]).astype(np.int64))], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists():
-            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            held: list[tuple] = []
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, k)
-                cut = np.flatnonzero(np.diff(keys)) + 1
-                bounds = [0, *cut.tolist(), len(keys)]
-                for a, b in zip(bounds, bounds[1:]):
-                    if held and held[0][0][0] != keys[a]:
-                        yield np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-                        held = []
-                    if b < len(keys):
-                        whole = [h[1] for h in held] + [ids[a:b]], [h[2] for h in held] + [sig[a:b]]
+                key, a, b, side, node, size, mask = (batch.column(i).to_numpy() for i in range(7))
+                sig = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, k)
+                cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
+                bounds = [0, *cut.tolist(), len(key)]
+                for p, q in zip(bounds, bounds[1:]):
+                    rows = ((key[p], a[p], b[p]), side[p:q], node[p:q], size[p:q], mask[p:q].view(np.uint64), sig[p:q])
+                    if held and held[0][0] != rows[0]:
+                        yield held
                         held = []
-                        yield (whole[0][0], whole[1][0]) if len(whole[0]) == 1 else tuple(map(np.concatenate, whole))
-                    else:
-                        held.append((keys[a:b], ids[a:b], sig[a:b]))
+                    held.append(rows)
             if held:
-                yield np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+                yield held
 
-        out: list[tuple[int, int, int]] = []
-        schema = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("matches", pa.int32())])
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*rows), schema.types)], schema=schema)
-
-        for ids, sig in lists():
-            if len(ids) < 2:
+        small, waiting = [], 0
+        for parts in lists():
+            side, node, size, mask, sig = (parts[0][c] if len(parts) == 1 else np.concatenate([x[c] for x in parts]) for c in range(1, 6))
+            coordinate = int(parts[0][0][0]) >> 32
+            if len(node) < 2:
+                continue
+            if len(node) > SMALL or side[0] != 2:
+                if (out := of_block(coordinate, node, size, mask, sig, side)) is not None:
+                    yield out
                 continue
-            for pair in pairs_of(ids, sig, t):
-                out.append(pair)
-                if len(out) > 50_000:
-                    yield batch_of(set(out))
-                    out = []
-        if out:
-            yield batch_of(set(out))
+            small.append((coordinate, node, size, mask, sig))
+            waiting += len(node)
+            if waiting > 8192:
+                if (out := of_small(small)) is not None:
+                    yield out
+                small, waiting = [], 0
+        if small and (out := of_small(small)) is not None:
+            yield out
 
-    return postings.mapInArrow(run, "doc_a long, doc_b long, matches int")
+    return postings.mapInArrow(run, "node long, root long, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,7 +291,8 @@ def components(edges: DataFrame) -> DataFrame:
     print_of = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = print_of(e)
     while seen[0]:
-        e = written(star(star(e, True), False), "star")
+        last, e = e, written(star(star(e, True), False), "star")
+        discard(last)
         now = print_of(e)
         if now == seen:
             break
@@ -205,64 +300,76 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id")).union(e.select(F.col("v").alias("doc_id"), F.col("v").alias("group_id"))).distinct()
 
 
-def _matches(lone: DataFrame, k: int, t: int, spanning: bool) -> DataFrame:
-    """(doc_a, doc_b, matches) of documents with their signatures, all different; the same pair may come several times."""
-    borne = _keys(lone, k).selectExpr("doc_id", "key", "count(*) over (partition by key) as n").where("n > 1")
-    # a repeated doc_id with two texts counts as two bearers above; here its pairs are merged
+def _borne(keys: DataFrame) -> DataFrame:
+    """keys with `n`, the number of rows of their key, without those that stand alone.
+
+    Counts are aggregated before they are shuffled and then joined, so that a key of very many rows is split between
+    tasks by the skew handling of the join.
+    """
+    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return keys.join(counts, "key")
+
+
+def _matches(nodes: DataFrame, k: int, t: int, counted: bool, block: int) -> DataFrame:
+    """(node, root, links) by blocks of posting lists; see `_verify`."""
+    borne = _borne(_keys(nodes.selectExpr("node as doc_id", "sig"), k).withColumnRenamed("doc_id", "node"))
     prefix = (
-        borne.groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set(F.struct("n", "key"))).alias("keys"))
+        borne.groupBy("node")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
         .where(F.size("keys") >= t)
-        .select("doc_id", F.explode(F.expr(f"slice(keys, 1, size(keys) - {t - 1})")).alias("x"))
-        .select("doc_id", F.col("x.key").alias("key"))
+        .select("node", F.expr(f"transform(slice(keys, 1, size(keys) - {t - 1}), x -> x.key)").alias("keys"))
+        .select("node", F.expr("aggregate(keys, 0L, (m, x) -> m | shiftleft(1L, cast(shiftright(x, 32) as int)))").alias("mask"), F.explode("keys").alias("key"))
     )
-    prefix = prefix.selectExpr("doc_id", "key", "count(*) over (partition by key) as n").where("n > 1").select("doc_id", "key")
-    postings = prefix.join(lone, "doc_id").select("key", "doc_id", "sig")
-    return _verify(postings.repartition("key").sortWithinPartitions("key", "doc_id"), k, t, spanning)
+    posted = _borne(written(prefix, "prefixes"))
+    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    posted = posted.withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    posted = posted.select("key", F.least("mine", "other").alias("part_a"), F.greatest("mine", "other").alias("part_b"), F.expr("case when mine = other then 2 when mine < other then 0 else 1 end").alias("side"), "node", "mask")
+    rows = posted.join(nodes.select("node", "size", "sig"), "node").select("key", "part_a", "part_b", "side", "node", "size", "mask", "sig")
+    return _verify(rows.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b", "node"), k, t, counted)
 
 
-def near_pairs(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, matches) with doc_a < doc_b: a spanning set of the pairs that agree in enough coordinates."""
+def _classes(docs: DataFrame, counted: bool, coordinates: int = COORDINATES, shingle: int = SHINGLE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, links) of every document that has a partner."""
     k, t = coordinates, needed(threshold, coordinates)
-    sigs = written(signatures(docs, k, shingle), "signatures")
-    reps = sigs.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    same = sigs.select("doc_id", "hi", "lo").join(reps, ["hi", "lo"]).where("doc_id != rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(k).alias("matches"))
-    lone = sigs.join(reps.withColumnRenamed("rep", "doc_id"), ["hi", "lo", "doc_id"]).dropDuplicates(["hi", "lo"]).select("doc_id", "sig")
-    pairs = _matches(written(lone, "representatives"), k, t, True)
-    return same.union(pairs).where("doc_a != doc_b").groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
-
-
-def matching_pairs(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, matches) with doc_a < doc_b: every pair that agrees in enough coordinates.
-
-    Equal signatures are compared once, under their hash `hi`, and their documents put in for them afterwards.
+    if not 1 <= k <= 64:
+        raise ValueError("1 to 64 coordinates")
+    with scratch() as keep:
+        sigs = written(signatures(docs, k, shingle), "signatures")
+        once = written(sigs.select("doc_id", "hi", "lo").distinct(), "members")
+        reps = once.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"))
+        # one row for each signature; its number is written once, so that it stays the same whatever is read again
+        nodes = written(sigs.join(reps, ["hi", "lo", "doc_id"]).dropDuplicates(["hi", "lo"]).select(F.monotonically_increasing_id().alias("node"), "hi", "lo", F.col("doc_id").alias("rep"), "size", "sig"), "nodes")
+        discard(sigs)
+        found = written(_matches(nodes, k, t, counted, block), "found")
+        links = found.groupBy("node").agg(F.sum("links").alias("links"))
+        members = written(once.join(nodes.select("hi", "lo", "node", "rep", "size"), ["hi", "lo"]).select("doc_id", "node", "rep", "size"), "members")
+        discard(once)
+        # a document with several texts ties their nodes together
+        several = members.groupBy("doc_id").agg(F.min("node").alias("doc_a"), F.collect_set("node").alias("all")).where("size(all) > 1").select("doc_a", F.explode("all").alias("doc_b"))
+        groups = components(found.selectExpr("node as doc_a", "root as doc_b").union(several))
+        names = groups.join(nodes.select(F.col("node").alias("doc_id"), "rep"), "doc_id")
+        least = names.groupBy("group_id").agg(F.min("rep").alias("class_id"))
+        named = names.join(least, "group_id").select(F.col("doc_id").alias("node"), "class_id")
+        both = members.join(named, "node", "left").join(links, "node", "left")
+        both = both.select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+        out = written(both.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links")), "classes")
+        keep(out)
+        return out
+
+
+def near_classes(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, class_id, links) of every document that has a near-duplicate.
+
+    class_id: the lowest doc_id that it is connected with.  links: how many other documents agree with it in enough coordinates;
+    those of equal texts count, each of them.  how: coordinates, shingle, threshold, block.
     """
-    k, t = coordinates, needed(threshold, coordinates)
-    sigs = written(signatures(docs, k, shingle), "signatures")
-    lone = written(sigs.dropDuplicates(["hi", "lo"]).select(F.col("hi").alias("doc_id"), "sig"), "representatives")
-    met = _matches(lone, k, t, False).groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
-    left, right = (sigs.select(F.col("hi").alias(f"hi_{c}"), F.col("doc_id").alias(c)).distinct() for c in "ab")
-    others = met.withColumnsRenamed({"doc_a": "hi_a", "doc_b": "hi_b"}).join(left, "hi_a").join(right, "hi_b").where("a != b").selectExpr("least(a, b) as doc_a", "greatest(a, b) as doc_b", "matches")
-    equal = left.join(right, F.col("hi_a") == F.col("hi_b")).where("a < b").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.lit(k).alias("matches"))
-    return equal.union(others).groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
-
-
-def near_groups(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
-    """(pairs, groups): the pairs of `near_pairs`, and (doc_id, group_id) of every document in one."""
-    pairs = written(near_pairs(docs, **how), "pairs")
-    return pairs, components(pairs)
-
-
-def near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """(group_id, doc_a, doc_b, matches): the retained pairs with their group, named after its lowest doc_id."""
-    pairs, groups = near_groups(docs, **how)
-    return pairs.join(groups.withColumnRenamed("doc_id", "doc_a"), "doc_a").select("group_id", "doc_a", "doc_b", "matches")
+    return _classes(docs, True, **how).where("links > 0")
 
 
-def all_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """(group_id, doc_a, doc_b, matches): every matching pair with its group, named after its lowest doc_id."""
-    pairs = written(matching_pairs(docs, **how), "pairs")
-    return pairs.join(components(pairs).withColumnRenamed("doc_id", "doc_a"), "doc_a").select("group_id", "doc_a", "doc_b", "matches")
+def near_groups(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, class_id) of every document that isn't the lowest doc_id of its class; options as in `near_classes`."""
+    return _classes(docs, False, **how).where("doc_id != class_id").select("doc_id", "class_id")
 
 
 def _sent_if_short(ids: DataFrame) -> DataFrame:
@@ -271,14 +378,15 @@ def _sent_if_short(ids: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
-    """The documents without all but the lowest doc_id of each group."""
-    _, groups = near_groups(docs, **how)
-    gone = _sent_if_short(written(groups.where("doc_id != group_id").select(F.col("doc_id").alias("_gone")), "gone"))
-    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice")
+    """The documents without all but the lowest doc_id of each class."""
+    gone_id, twice_id, place = unused(docs, "gone", "twice", "place")
+    gone = _sent_if_short(written(near_groups(docs, **how).select(F.col("doc_id").alias(gone_id)), "gone"))
+    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(twice_id)).agg(F.count("*").alias("n")).where("n > 1").select(twice_id)
     twice = _sent_if_short(written(twice, "twice"))
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    once = left.join(twice, left["doc_id"] == twice["_twice"], "left_anti")
-    again = left.join(twice, left["doc_id"] == twice["_twice"], "left_semi")
-    order = Window.partitionBy(again["doc_id"]).orderBy(again["text"].asc_nulls_last(), *(again[c] for c, kind in again.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")))
-    first = again.select("*", F.row_number().over(order).alias("_row")).where("_row = 1").drop("_row") if "_row" not in again.columns else again.dropDuplicates(["doc_id"])
+    left = docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")
+    once = left.join(twice, left["doc_id"] == twice[twice_id], "left_anti")
+    again = left.join(twice, left["doc_id"] == twice[twice_id], "left_semi")
+    # of the rows of one doc_id, the least text stays; JSON orders the other columns whatever their types
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.to_json(F.struct(*(F.col(f"`{c}`") for c in again.columns))))
+    first = again.select("*", F.row_number().over(order).alias(place)).where(F.col(place) == 1).drop(place)
     return once.union(first)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -52,11 +53,49 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gritsieve/{name}-{uuid.uuid4().hex}"
 
 
+_tables: dict[str, SparkSession] = {}
+"""Paths of the tables that this process has written and not deleted yet, in their order."""
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and safe from the loss of executors."""
     path = fresh_path(df.sparkSession, name)
+    _tables[path] = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._gritsieve_path = path
+    return table
+
+
+def _delete(path: str) -> None:
+    spark = _tables.pop(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing will read again."""
+    for table in tables:
+        if table._gritsieve_path in _tables:
+            _delete(table._gritsieve_path)
+
+
+@contextmanager
+def scratch():
+    """Deletes the tables written within it at its end, but those given to the function that it yields."""
+    before, kept = set(_tables), set()
+    yield lambda table: kept.add(table._gritsieve_path)
+    for path in [p for p in _tables if p not in before and p not in kept]:
+        _delete(path)
+
+
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names of columns that df doesn't have, in any case of their letters, for columns of our own."""
+    taken = {c.lower() for c in df.columns}
+    tail = ""
+    while any(f"_{w}{tail}".lower() in taken for w in wanted):
+        tail += "_"
+    return [f"_{w}{tail}" for w in wanted]
 
 
 _BLANK = np.zeros(256, bool)
