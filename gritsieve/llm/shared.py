@@ -84,9 +84,11 @@ def discard(*tables: DataFrame) -> None:
 def scratch():
     """Deletes the tables written within it at its end, but those given to the function that it yields."""
     before, kept = set(_tables), set()
-    yield lambda table: kept.add(table._gritsieve_path)
-    for path in [p for p in _tables if p not in before and p not in kept]:
-        _delete(path)
+    try:
+        yield lambda table: kept.add(table._gritsieve_path)
+    finally:
+        for path in [p for p in _tables if p not in before and p not in kept]:
+            _delete(path)
 
 
 def unused(df: DataFrame, *wanted: str) -> list[str]:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = ("key", "tokens", "group_id", "copies", "bin", "count", "score", "row", "keep", "word", "weight", "n", "x", "doc_a", "sig", "rank", "_m", "bucket")
+CLASHING = ("key", "tokens", "group_id", "copies", "bin", "count", "score", "row", "keep", "word", "weight", "n", "x", "doc_a", "sig", "rank", "_m", "bucket",
+            "_why", "_lang", "_size", "_own", "_rest", "_fertility", "_reasons", "_bands", "_class_lang", "_class_size", "_mix_key", "_mix_id", "_mix_epochs", "_mix_time", "_mix_source", "_mix_copies", "_mix_cut_key",
+            "_cut_key", "_cut_id", "_cut_source", "_epochs", "_times", "_KEY", "_id", "_source", "_copies", "_time", "_gone", "_twice", "_place", "_row", "_parts", "class_lang", "class_size", "wide", "bands", "own", "rest", "m", "why",
+            "class_id", "links", "node", "root", "rep", "hi", "lo", "toxic", "fold", "minima", "stem", "n_tokens", "token_ids", "class", "piece", "place", "offset", "kind", "error", "content", "media_id")
 
 
 def prose(rng: random.Random, n: int, base: str = "abcdefgh") -> str:
@@ -28,7 +31,7 @@ def awkward(spark, seed: int = 0, clashing: bool = True):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(awkward_rows(seed), SCHEMA)
-    return docs.withColumns({c: F.lit(c) for c in CLASHING}) if clashing else docs
+    return docs.select("*", *(F.lit(c).alias(c) for c in CLASHING)) if clashing else docs
 
 
 def empty(spark):
