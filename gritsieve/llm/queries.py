@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gritsieve.llm import classifier, license_scan, media, mixing, near_dedup, packing, quality_rules, token_files, toxicity, warc
-from gritsieve.llm.shared import fresh_path
+from gritsieve.llm.shared import fresh_path, word_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled(_table(spark, sf_dir, "documents"))
 
 
+def mixing_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op5_mixing, but by words between blanks, which SQL can count as well."""
+    return mixing.sampled(_table(spark, sf_dir, "documents"), tokens=word_count())
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return classifier.quality_scores(docs, classifier.train(docs, _table(spark, sf_dir, "labels")))
@@ -61,14 +66,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_near_duplicates, op3_quality_rules, op4_media_tracks, op5_mixing, op6_quality_classifier, op7_warc, op8_license_scan, op9_toxic_passages, op10_token_files)
+    for f in (op1_packing, op2_near_duplicates, op3_quality_rules, op4_media_tracks, op5_mixing, mixing_by_words, op6_quality_classifier, op7_warc, op8_license_scan, op9_toxic_passages, op10_token_files)
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = f"len(list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda w: w <> ''))"
 
 ORACLES: dict[str, str] = {
-    "op5_mixing": f"""
+    "mixing_by_words": f"""
         WITH d AS (
           SELECT doc_id, source, coalesce(source, chr(0) || 'none') AS s, {_WORDS}::BIGINT AS tokens,
                  length(coalesce(text, '')) - length(translate(coalesce(text, ''), '$%&#*!|', '')) AS noise
@@ -84,5 +89,5 @@ ORACLES: dict[str, str] = {
         SELECT c.doc_id, c.source, c.tokens, (q.epochs + CASE WHEN c.upto <= q.rest THEN 1 ELSE 0 END)::BIGINT AS copies
         FROM c JOIN q USING (s) WHERE q.epochs + CASE WHEN c.upto <= q.rest THEN 1 ELSE 0 END > 0
     """,
-    "op7_warc": "SELECT page_id, url, strlen(html)::BIGINT AS html_bytes, md5(html) AS html_md5 FROM pages",
+    "op7_warc": "SELECT page_id, '<urn:page:' || coalesce(page_id::VARCHAR, 'none') || '>' AS record_id, url, strlen(html)::BIGINT AS html_bytes, md5(html) AS html_md5 FROM pages",
 }

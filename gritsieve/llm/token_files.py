@@ -47,6 +47,17 @@ def encoded(folder: str = tokenizers.FOLDER, name: str = tokenizers.BYTE_BPE, ba
     return encode
 
 
+def token_count(folder: str = tokenizers.FOLDER, name: str = tokenizers.BYTE_BPE):
+    """A column function of a text: how many token ids `encoded` gives it; null and empty texts have none."""
+
+    @F.arrow_udf("int")
+    def count(text: pa.Array) -> pa.Array:
+        encoder = tokenizers.byte_bpe(name, folder)
+        return pa.array([len(encoder.encode_ordinary(t)) if (t := cell.as_py()) else 0 for cell in text], pa.int32())
+
+    return count
+
+
 def tokenized(docs: DataFrame, folder: str = tokenizers.FOLDER, name: str = tokenizers.BYTE_BPE) -> DataFrame:
     """(doc_id, n_tokens, token_ids) of every document."""
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), encoded(folder, name)("text").alias("token_ids"))

@@ -4,7 +4,7 @@ import math
 import duckdb
 from pyspark.sql import functions as F
 
-from gritsieve.llm import mixing
+from gritsieve.llm import mixing, tokenizers
 from gritsieve.llm.queries import ORACLES, QUERIES
 from tests.llm.cases import awkward, awkward_rows, empty
 
@@ -12,13 +12,13 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute(rows, shares, budget, seed=17):
-    """{(row, source): copies} by sorting each source as a whole; rows: (doc_id, text, source)."""
+    """{(row, source, tokens): copies} by sorting each source as a whole; rows: (doc_id, text, source)."""
     items = {}
     for i, t, s in rows:
         words = len([w for w in (t or "").replace("\t", " ").replace("\n", " ").split(" ") if w])
         noise = sum((t or "").count(c) for c in "$%&#*!|")
         u = (int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        items.setdefault(s, []).append((-math.log(u) / (words / (words + noise) if words else 1.0), -(2**63) if i is None else i, words))
+        items.setdefault(s, []).append((-math.log(u) / (words / (words + noise) if words else 1.0), -(2**63) if i is None else i, len(tokenizers.byte_bpe().encode_ordinary(t or ""))))
     totals = {s: sum(x[2] for x in v) for s, v in items.items()}
     parts = {s: shares.get(s, 0.0) if shares is not None else 1.0 for s, n in totals.items() if n > 0}
     parts = {s: w for s, w in parts.items() if shares is None or s in shares}
@@ -51,8 +51,24 @@ def got_of(df):
 def test_the_query_against_sql(spark):
     with duckdb.connect() as con:
         con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-        want = sorted(con.sql(f"SELECT doc_id, source, tokens, copies FROM ({ORACLES['op5_mixing']})").fetchall())
-    assert sorted(tuple(r) for r in QUERIES["op5_mixing"](spark, SF).collect()) == want
+        want = sorted(con.sql(f"SELECT doc_id, source, tokens, copies FROM ({ORACLES['mixing_by_words']})").fetchall())
+    assert sorted(tuple(r) for r in QUERIES["mixing_by_words"](spark, SF).collect()) == want
+
+
+def test_the_query_against_sorting_each_source(spark):
+    import pandas as pd
+
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    assert got_of(QUERIES["op5_mixing"](spark, SF)) == brute([*zip(docs.doc_id.tolist(), docs.text, docs.source)], None, None)
+
+
+def test_buckets_do_not_depend_on_the_scale_of_the_weights(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
+    most = []
+    for scale in (1e-300, 0.001, 1.0, 1e6):
+        rows = mixing.keyed(docs, F.lit(1), mixing.sampling_key(F.col("doc_id"), F.lit(scale), 17, 0.01))
+        most.append(rows.groupBy("bucket").count().agg(F.max("count")).first()[0])
+    assert max(most) < 0.003 * 20_000
 
 
 def test_awkward_documents(spark):
@@ -77,6 +93,7 @@ def test_targets_budgets_and_epochs(spark):
 
 def test_heavier_documents_are_taken_more_often(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"), (F.col("id") % 2 * 3 + 1).cast("double").alias("w"))
-    ids = [r.doc_id for r in mixing.sampled(docs, budget=3000, weight=F.col("w")).collect()]
+    ids = [r.doc_id for r in mixing.sampled(docs, budget=3000, tokens=F.lit(3), weight=F.col("w")).collect()]
     assert 900 < len(ids) <= 1000 and sum(i % 2 for i in ids) > 0.7 * len(ids)
-    assert mixing.sampled(docs, budget=3000, weight=F.lit(None).cast("double")).count() == 1000
+    assert mixing.sampled(docs, budget=3000, tokens=F.lit(3), weight=F.lit(None).cast("double")).count() == 1000
+    assert mixing.sampled(docs, budget=3000, tokens=F.lit(3), weight=F.lit(float("nan"))).count() == 1000
