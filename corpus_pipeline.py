@@ -3,8 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 docs of the next one.  The first four return the columns of documents; the last returns the packed pieces.
 
-Documents of no rows make a table of no pieces.  Rows with a null text are rejected by the rules.  A source that is null
-is mixed as a source of its own.
+Documents of no rows make a table of no pieces.  Rows with a null, empty or blank text are rejected by the rules.  A source that is
+null is mixed as a source of its own; a lang that is null is a language of its own; rows with a null doc_id are never
+duplicates.  Of repeated rows one stays, and of documents that tie as duplicates the one of the lowest doc_id.  Very long
+texts are read whole by every stage and packed into bins of their own.  Extra columns are carried through to
+mixing, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gritsieve.llm import mixing, near_dedup, packing, quality_rules, toxicity
-from gritsieve.llm.shared import written
+from gritsieve.llm.shared import discard, scratch, written
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +59,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder of tables."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as keep:  # what a stage has written for itself goes when it is done, and then its input
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep(docs)
+        discard(*last)
+        last = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)
