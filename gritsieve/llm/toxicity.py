@@ -19,7 +19,8 @@ significant, and a document with a significant segment is toxic.
 Defined results: null and empty texts have no segment.  Labels with a null doc_id or class are ignored; a document
 with labels that disagree counts as toxic; repeated rows of a document count once each.  Without both classes
 among the labels nothing is known and no segment is found.  Equal segments in one text are separate rows, since
-their places differ.  Extra columns are carried through by `reject_toxic` and ignored by `toxic_passages`.
+their places differ.  A very long text is searched whole, and a null doc_id stays null.  An empty table of documents has no passage, and one of
+labels teaches nothing.  Extra columns are carried through by `reject_toxic` and ignored by `toxic_passages`.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from gritsieve.llm.blocks import Words, blocks
 from gritsieve.llm.near_dedup import signatures_of
-from gritsieve.llm.shared import small_batches, written
+from gritsieve.llm.shared import discard, scratch, small_batches, written
 
 STEMS = (0, 6, 5, 4)
 """Units of a word, from the most to the least specific: 0 is the whole word, else a number of leading bytes."""
@@ -160,9 +161,10 @@ def _without_copies(labelled: DataFrame, coordinates: int = 4) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, coordinates, dtype=np.int32)), pa.array(flat))
 
     rows = labelled.withColumn("minima", minima("text"))
-    keys = rows.select("doc_id", *(F.col("minima")[i].alias(f"c{i}") for i in range(coordinates)))
-    for i in range(coordinates):
-        keys = keys.join(keys.groupBy(f"c{i}").agg(F.min("doc_id").alias("doc_id")), [f"c{i}", "doc_id"], "left_semi")
+    keys = written(rows.select("doc_id", *(F.col("minima")[i].alias(f"c{i}") for i in range(coordinates))), "minima")
+    for i in range(coordinates):  # each round reads what the last one wrote
+        last, keys = keys, written(keys.join(keys.groupBy(f"c{i}").agg(F.min("doc_id").alias("doc_id")), [f"c{i}", "doc_id"], "left_semi"), "minima")
+        discard(last)
     return labelled.join(F.broadcast(keys.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text", "toxic")
 
 
@@ -221,29 +223,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 40_000, prior: float
     weak: what a word says of toxicity counts from this score on, so that the many words that lean a little that way, such
     as those of the language of some toxic documents, don't add up to a passage.
     """
-    marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
-    marks = marks.withColumn("order", F.xxhash64("doc_id"))
-    halves = [marks.where("toxic" if c else "not toxic").orderBy("order", "doc_id").limit(sample // 2) for c in (1, 0)]
-    # at most `sample` rows of two numbers: small by the bound, whatever the size of the labels
-    sampled = F.broadcast(halves[0].union(halves[1]).select("doc_id", "toxic"))
-    known = written(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sampled, "doc_id"), "labelled")
-    lone = written(_without_copies(known).select("text", "toxic", F.expr("pmod(xxhash64(doc_id, 1), 2)").cast("int").alias("fold")), "lone")
-    counts = _unit_counts(lone, least).toArrow()
-    stem, unit = counts["stem"].to_numpy(), counts["unit"].to_numpy().view(np.uint64)
-    t0, c0, t1, c1 = (counts[c].to_numpy() for c in ("t0", "c0", "t1", "c1"))
-    model = _scored(stem, unit, t0 + t1, c0 + c1, prior, least, z, drift, weak)
-    if not model.known:
-        return model
-    halves = [_scored(stem, unit, t1, c1, prior, least, z, drift, weak), _scored(stem, unit, t0, c0, prior, least, z, drift, weak)]
-    seen = _clean_scores(lone, halves).toArrow()
-    scores, weights = seen["score"].to_numpy(), seen["n"].to_numpy().astype(float)
-    # a hit of the best score that has not been seen yet counts half
-    top = float(max(s.max() for s in model.scores if len(s))) - drift
-    scores, weights = np.append(scores, top), np.append(weights, 0.5)
-    if not (scores < 0).any():
-        return model
-    lam, k = calibrate(scores, weights)
-    return ToxicModel(model.keys, model.scores, drift, lam, k)
+    with scratch():  # the model is all that stays
+        marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
+        marks = marks.withColumn("order", F.xxhash64("doc_id"))
+        halves = [marks.where("toxic" if c else "not toxic").orderBy("order", "doc_id").limit(sample // 2) for c in (1, 0)]
+        # at most `sample` rows of two numbers: small by the bound, whatever the size of the labels
+        sampled = F.broadcast(halves[0].union(halves[1]).select("doc_id", "toxic"))
+        known = written(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sampled, "doc_id"), "labelled")
+        lone = written(_without_copies(known).select("text", "toxic", F.expr("pmod(xxhash64(doc_id, 1), 2)").cast("int").alias("fold")), "lone")
+        counts = _unit_counts(lone, least).toArrow()
+        stem, unit = counts["stem"].to_numpy(), counts["unit"].to_numpy().view(np.uint64)
+        t0, c0, t1, c1 = (counts[c].to_numpy() for c in ("t0", "c0", "t1", "c1"))
+        model = _scored(stem, unit, t0 + t1, c0 + c1, prior, least, z, drift, weak)
+        if not model.known:
+            return model
+        halves = [_scored(stem, unit, t1, c1, prior, least, z, drift, weak), _scored(stem, unit, t0, c0, prior, least, z, drift, weak)]
+        seen = _clean_scores(lone, halves).toArrow()
+        scores, weights = seen["score"].to_numpy(), seen["n"].to_numpy().astype(float)
+        # a hit of the best score that has not been seen yet counts half
+        top = float(max(s.max() for s in model.scores if len(s))) - drift
+        scores, weights = np.append(scores, top), np.append(weights, 0.5)
+        if not (scores < 0).any():
+            return model
+        lam, k = calibrate(scores, weights)
+        return ToxicModel(model.keys, model.scores, drift, lam, k)
 
 
 def _scored(stem: np.ndarray, unit: np.ndarray, toxic: np.ndarray, clean: np.ndarray, prior: float, least: int, z: float, drift: float, weak: float) -> ToxicModel:
