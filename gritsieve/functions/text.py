@@ -22,6 +22,12 @@ def token_hash(words: Column) -> Column:
     return F.md5(F.array_join(words, "\u0001"))
 
 
+def text_token_hash(text: Column) -> Column:
+    """`token_hash` of the words of a text, without making a list of them; null for a text without a word."""
+    joined = F.btrim(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", "\u0001"), F.lit("\u0001"))
+    return F.when(joined != "", F.md5(joined))
+
+
 def relative_path(path: Column, root: Column) -> Column:
     """path below root; both without a closing slash."""
     return F.when(root.isNull(), path).otherwise(F.substring(path, F.length(root) + 2, F.length(path)))

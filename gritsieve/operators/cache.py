@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gritsieve.functions.text import content_key, fast_hash, options_fingerprint, stat_key
+from gritsieve.sources.tables import kept
 
 CACHE = "cache_key string, data string, stored_at timestamp"
 FASTPATH = "fastpath_key string, cache_key string, size long, mtime timestamp, stored_at timestamp"
@@ -99,11 +100,24 @@ class ResultsCache:
         self._append(rows.where("data is not null and fastpath_key is not null").select("fastpath_key", "cache_key", "size", "mtime"), "fastpath")
 
     def evict(self, capacity: int = CAPACITY) -> None:
-        """Rewrites the cache within a capacity, under a new name that then takes the old one's place."""
-        evicted(self.cache, capacity).write.mode("overwrite").parquet(f"{self.folder}/cache-next")
-        self._remove("cache")
+        """Rewrites the cache within a capacity.
+
+        The new files join the old ones before these go, so that nobody finds the cache empty in between; if it breaks off, rows
+        are there twice, of which one counts.
+        """
         path = self.spark._jvm.org.apache.hadoop.fs.Path
-        path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(path(f"{self.folder}/cache-next"), path(f"{self.folder}/cache"))
+        fs = path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path(f"{self.folder}/cache")):
+            return
+        files = lambda name: [s.getPath() for s in fs.listStatus(path(f"{self.folder}/{name}"))]
+        old = files("cache")
+        evicted(self.cache, capacity).write.mode("overwrite").parquet(f"{self.folder}/cache-next")
+        for file in files("cache-next"):
+            if file.getName().endswith(".parquet"):
+                fs.rename(file, path(f"{self.folder}/cache/{file.getName()}"))
+        for file in old:
+            fs.delete(file, True)
+        self._remove("cache-next")
 
     def clear(self) -> None:
         self._remove("cache")
@@ -132,6 +146,7 @@ def with_cache(analyse: Callable[[DataFrame], DataFrame], files: DataFrame, cach
     found = cache.get_with_fastpath(keyed_files(files, category, version, options))
     hits = found.where("hit is not null").select("relpath", "data")
     misses = found.where("hit is null").drop("data", "hit")
-    fresh = analyse(misses).select("relpath", "data")
+    # both what is returned and what is stored read it: the analysis runs once
+    fresh = kept(analyse(misses).select("relpath", "data"), "fresh")
     store = misses.select("relpath", "cache_key", "fastpath_key", "size", "mtime").join(fresh, "relpath")
     return hits.unionByName(fresh), store

@@ -23,14 +23,18 @@ def with_components(prints: DataFrame, components: DataFrame, key: str = "relpat
     return prints.join(found, key, "left")
 
 
-def request_batches(hashes: DataFrame, column: str = "file_hash", size: int = REQUEST, buckets: int = 64) -> DataFrame:
-    """(bucket, batch, hashes): distinct hashes in lists of at most `size`, for a remote lookup.
+def request_batches(hashes: DataFrame, column: str = "file_hash", size: int = REQUEST) -> DataFrame:
+    """(batch, hashes): distinct hashes in their order, in lists of `size` but for the last one, for a remote lookup.
 
-    Lists are filled within hash buckets, so that no window spans the table; a bucket ends in a short list.
+    Hashes are ranked among those of the same first three characters, and shifted by the counts of those before, which are as
+    many as there are such beginnings; no window spans the table.
     """
-    rows = hashes.select(F.col(column).alias("_h")).where("_h is not null").distinct().withColumn("bucket", F.pmod(F.xxhash64("_h"), F.lit(buckets)).cast("int"))
-    place = F.row_number().over(W.partitionBy("bucket").orderBy("_h")) - 1
-    return rows.withColumn("batch", F.floor(place / size).cast("int")).groupBy("bucket", "batch").agg(F.array_sort(F.collect_list("_h")).alias("hashes"))
+    rows = hashes.select(F.col(column).alias("_h")).where("_h is not null").distinct().withColumn("_start", F.substring("_h", 1, 3))
+    starts = rows.groupBy("_start").agg(F.count("*").alias("_n"))
+    before = starts.select("_start", (F.sum("_n").over(W.orderBy("_start")) - F.col("_n")).alias("_before"))
+    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_start").orderBy("_h")) - 1).join(before, "_start")
+    batch = F.floor((F.col("_rank") + F.col("_before")) / size).cast("long")
+    return ranked.groupBy(batch.alias("batch")).agg(F.array_sort(F.collect_list("_h")).alias("hashes"))
 
 
 def incompatible_pairs(licenses: DataFrame, compat: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritsieve.functions.spdx import expression_leaves
-from gritsieve.functions.text import EDGE, bounded_at_first, license_tag, token_hash, tokens
+from gritsieve.functions.text import EDGE, bounded_at_first, license_tag, text_token_hash, tokens
+from gritsieve.sources.tables import kept
 
 THRESHOLD = 0.8
 
@@ -16,21 +21,90 @@ def exact_matches(texts: DataFrame, ref: DataFrame, key: str = "relpath", text:
 
     skip_self: a reference whose key is the text's own doesn't count.  Texts without a word match nothing.
     """
-    words = tokens(F.col(text))
-    mine = texts.select(F.col(key), F.when(F.size(words) > 0, token_hash(words)).alias("tok_md5")).where("tok_md5 is not null")
+    mine = texts.select(F.col(key), text_token_hash(F.col(text)).alias("tok_md5")).where("tok_md5 is not null")
     both = mine.join(ref.select(F.col("key").alias("_key"), F.col("ord").alias("_ord"), "tok_md5"), "tok_md5")
     if skip_self:
         both = both.where(F.col(key).cast("string") != F.col("_key"))
     return both.groupBy(key).agg(F.min_by("_key", "_ord").alias("license"))
 
 
-def similar_matches(texts: DataFrame, ref: DataFrame, key: str = "relpath", text: str = "text", threshold: float = THRESHOLD, skip_self: bool = False) -> DataFrame:
+REFERENCE_WORDS = 8_000_000
+"""References of up to so many distinct words in all (64 MB) are sent to all executors; larger ones are joined."""
+
+
+def similar_matches(texts: DataFrame, ref: DataFrame, key: str = "relpath", text: str = "text", threshold: float = THRESHOLD, skip_self: bool = False, most: int = REFERENCE_WORDS) -> DataFrame:
     """(key, license, score): the reference of the greatest Dice coefficient of distinct words, at least `threshold`; ties go to the lowest ord.
 
     A text of a words can only reach the threshold if it shares ceil(t a / (2 - t)) of them, so one of its rarest
-    a - ceil(...) + 1 is among those shared, and the same holds for the reference.  Only these are posted and joined,
-    rarest first by how many references have a word; words of no reference are the rarest of all.  Each
-    candidate of a fitting size is then counted in full.  Every pair at or above the threshold is found.
+    a - ceil(...) + 1 is among those shared.  References whose words are counted and found few are searched in one pass over the
+    texts, without a shuffle; others by a join.  Both find every pair at or above the threshold, and so the same.
+    """
+    refs = kept(ref.where("n_tokens > 0").select(F.col("key"), F.col("ord"), F.transform("tokens", lambda w: F.xxhash64(w)).alias("words")), "references")
+    if (refs.agg(F.sum(F.size("words"))).first()[0] or 0) <= most:
+        return _similar_to_few(texts, refs, key, text, threshold, skip_self)
+    return _similar_by_join(texts, ref, key, text, threshold, skip_self)
+
+
+def _similar_to_few(texts: DataFrame, refs: DataFrame, key: str, text: str, threshold: float, skip_self: bool) -> DataFrame:
+    """`similar_matches` with references (key, ord, words), words being hashes, that each task holds as a whole."""
+    table = refs.orderBy("ord", "key").toArrow()
+    flat = table["words"].combine_chunks().flatten().to_numpy() if table.num_rows else np.zeros(0, np.int64)
+    sizes = np.array([len(x) for x in table["words"]], np.int64)
+    vocabulary, words = np.unique(flat, return_inverse=True)
+    words = words.astype(np.int32)
+    bearers = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[np.argsort(words, kind="stable")]
+    df = np.bincount(words, minlength=len(vocabulary))
+    names = table["key"].to_pylist()
+    sent = texts.sparkSession.sparkContext.broadcast((vocabulary, words, bearers, df, sizes, names))
+    share, kind = threshold / (2.0 - threshold), dict(texts.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, words, bearers, df, sizes, names = sent.value
+        lists, begins = np.concatenate([[0], np.cumsum(df)]), np.concatenate([[0], np.cumsum(sizes)])
+        number = {name: i for i, name in enumerate(names)}
+        mark = np.zeros(len(vocabulary), bool)
+
+        def best(h: np.ndarray, own: str | None) -> tuple[str, float] | None:
+            n = len(h)
+            if not n or not len(vocabulary):
+                return None
+            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+            ids = at[vocabulary[at] == h]
+            room = n - int(np.ceil(n * share - 1e-9)) + 1 - (n - len(ids))
+            if room <= 0:
+                return None
+            rare = ids[np.argsort(df[ids], kind="stable")][:room]
+            among = np.unique(np.concatenate([bearers[lists[i] : lists[i + 1]] for i in rare.tolist()]))
+            # of two sets, the smaller must have at least this share of the larger one's words
+            among = among[(n >= sizes[among] * share - 1e-9) & (sizes[among] >= n * share - 1e-9)]
+            if skip_self:
+                among = among[among != number.get(own, -1)]
+            if not len(among):
+                return None
+            mark[ids] = True
+            count, ends = sizes[among], np.cumsum(sizes[among])
+            places = np.arange(ends[-1]) + np.repeat(begins[among] - (ends - count), count)
+            shared = np.add.reduceat(mark[words[places]], ends - count, dtype=np.int64)
+            mark[ids] = False
+            score = (2.0 * shared) / (n + count)
+            top = int(score.argmax())  # the first of equals has the lowest ord
+            return (names[among[top]], float(score[top])) if score[top] >= threshold else None
+
+        for batch in batches:
+            owns = batch.column(1).to_pylist()
+            found = [(i, x) for i, h in enumerate(batch.column(2)) if h.is_valid and (x := best(h.values.to_numpy(), owns[i]))]
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in found])), pa.array([x[0] for _, x in found]), pa.array([x[1] for _, x in found])], [key, "license", "score"])
+
+    mine = texts.select(F.col(key), F.col(key).cast("string").alias("_own"), F.transform(F.array_distinct(tokens(F.col(text))), lambda w: F.xxhash64(w)).alias("_words"))
+    return mine.mapInArrow(run, f"`{key}` {kind}, license string, score double")
+
+
+def _similar_by_join(texts: DataFrame, ref: DataFrame, key: str, text: str, threshold: float, skip_self: bool) -> DataFrame:
+    """`similar_matches` by joining the words in the prefixes that a pair above the threshold must share.
+
+    Only the rarest words of either side are posted, by how many references have a word; words of no reference are the rarest
+    of all.  Each candidate of a fitting size is then counted in full.
     """
     share = threshold / (2.0 - threshold)
     prefix = lambda n: n - F.ceil(n * F.lit(share) - 1e-9).cast("int") + 1
@@ -71,7 +145,6 @@ def alias_matches(texts: DataFrame, aliases: DataFrame, key: str = "relpath", te
     texts are joined by pieces and searched for few phrases each.  Aliases that begin with an edge, or have no piece, are
     joined by the whole of them.
     """
-    pieces = F.array_distinct(F.split(F.col(text), EDGE))
     named = aliases.select(F.col("key").alias("license"), F.col("ord").alias("_ord"), "alias", F.regexp_extract("alias", f"^{EDGE}*([^{EDGE[1:-1]}]*)", 1).alias("_piece"))
     wanted = named.agg(F.array_distinct(F.collect_list("_piece")).alias("_wanted"))
     # one row, of the pieces of the aliases; texts that have none of them end here
@@ -109,6 +182,6 @@ def analysed(texts: DataFrame, aliases: DataFrame, detections: DataFrame | None
     return out.where("spdx is not null or licenses is not null or clues is not null")
 
 
-def license_file_matches(files: DataFrame, ref: DataFrame, accepts: Column, key: str = "relpath", text: str = "text") -> DataFrame:
+def license_file_matches(files: DataFrame, ref: DataFrame, accepts: Column, key: str = "relpath", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, license, score) of the files that a predicate accepts for comparison with whole license texts."""
-    return text_matches(files.where(accepts), ref, key, text)
+    return text_matches(files.where(accepts), ref, key, text, threshold)

@@ -54,11 +54,11 @@ class LicenseAnalyser:
         return F.col("is_license")
 
     def options(self) -> dict[str, object]:
-        return {"includeCopyright": self.config.include_copyright, "analyseAllTextFiles": self.config.analyse_all_text_files}
+        return {"includeCopyright": self.config.include_copyright, "analyseAllTextFiles": self.config.analyse_all_text_files, "similarityThreshold": self.config.similarity_threshold}
 
     def transform(self, files: DataFrame) -> DataFrame:
         named = gates.license_name(F.col("relpath")) & gates.short_enough(F.col("text"), self.config.max_similarity_chars)
-        found = licenses.license_file_matches(files, self.ref, named).select("relpath", F.col("license").alias("key"), "score", F.lit(None).cast("string").alias("spdx"), F.lit(None).cast("array<string>").alias("licenses"))
+        found = licenses.license_file_matches(files, self.ref, named, threshold=self.config.similarity_threshold).select("relpath", F.col("license").alias("key"), "score", F.lit(None).cast("string").alias("spdx"), F.lit(None).cast("array<string>").alias("licenses"))
         if self.config.analyse_all_text_files:
             rest = files.join(found.select("relpath"), "relpath", "left_anti")
             said = licenses.analysed(rest, self.aliases)
@@ -79,7 +79,7 @@ class CommentAnalyser:
         return F.col("is_source")
 
     def options(self) -> dict[str, object]:
-        return {"includeCopyright": self.config.include_copyright, "lexerMode": self.config.lexer_mode}
+        return {"includeCopyright": self.config.include_copyright, "lexerMode": self.config.lexer_mode, "similarityThreshold": self.config.similarity_threshold}
 
     def runs(self, files: DataFrame) -> DataFrame:
         """(id, relpath, line, endLine, text): merged comments."""
@@ -89,7 +89,7 @@ class CommentAnalyser:
     def rows(self, files: DataFrame) -> DataFrame:
         """(relpath, line, endLine, key, score, spdx, licenses, copyright, authors) of the runs that say something."""
         runs = self.runs(files)
-        whole = licenses.text_matches(heads(runs), self.ref, key="id").withColumnRenamed("license", "key")
+        whole = licenses.text_matches(heads(runs), self.ref, key="id", threshold=self.config.similarity_threshold).withColumnRenamed("license", "key")
         rest = runs.join(whole.select("id"), "id", "left_anti")
         said = licenses.analysed(rest, self.aliases, key="id")
         found = whole.join(said, "id", "full").select("id", "key", "score", "spdx", "licenses")
@@ -104,13 +104,13 @@ class CommentAnalyser:
 
 @dataclass(frozen=True)
 class CryptoAnalyser:
-    """Cryptographic algorithms in any file's bytes."""
+    """Cryptographic algorithms in source files."""
 
     config: ScanConfig
     category: str = "crypto"
 
     def predicate(self) -> Column:
-        return F.col("content").isNotNull() & gates.within_size(F.col("size"), self.config.max_file_size)
+        return F.col("is_source")
 
     def options(self) -> dict[str, object]:
         return {}
@@ -125,13 +125,13 @@ class CryptoAnalyser:
 
 @dataclass(frozen=True)
 class FingerprintAnalyser:
-    """Winnowing fingerprints of text files."""
+    """Winnowing fingerprints of source files."""
 
     config: ScanConfig
     category: str = "fingerprints"
 
     def predicate(self) -> Column:
-        return F.col("is_text")
+        return F.col("is_source")
 
     def options(self) -> dict[str, object]:
         return {"gram": self.config.gram, "window": self.config.window}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -430,9 +431,108 @@ def fallback_text_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.analysed(docs, aliases(spark), key="doc_id").select("doc_id", "spdx", F.array_join("licenses", ",").alias("licenses"))
 
 
-@query()
+@query(
+    """WITH h AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE text IS NOT NULL), b AS (SELECT h, (row_number() OVER (ORDER BY h) - 1) // 999 AS batch FROM h)
+       SELECT batch::BIGINT AS batch, count(*)::BIGINT AS n, md5(string_agg(h, ',' ORDER BY h)) AS hashes_md5 FROM b GROUP BY 1"""
+)
 def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.request_batches(_table(spark, sf_dir, "documents").select(F.md5("text").alias("file_hash")))
+    rows = enrich.request_batches(_table(spark, sf_dir, "documents").select(F.md5("text").alias("file_hash")))
+    return rows.select("batch", F.size("hashes").cast("long").alias("n"), F.md5(F.array_join("hashes", ",")).alias("hashes_md5"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(replace(text, chr(10), CASE WHEN doc_id % 2 = 0 THEN chr(13) || chr(10) ELSE chr(13) END), '\r\n?', chr(10), 'g')) AS text_md5 FROM documents WHERE strlen(text) < 500000")
+def universal_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as they go to the analyses, from files with the line ends of other systems; texts that double ends could take over the size gate are gated."""
+    docs = _table(spark, sf_dir, "documents").where(F.octet_length("text") < 500_000)
+    broken = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.replace("text", F.lit("\n"), F.lit("\r")))
+    routed = gates.routed(files.table_files(docs.select(F.col("doc_id").cast("string").alias("relpath"), broken.alias("text"))))
+    return routed.select(F.col("relpath").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
+@query(
+    """SELECT doc_id, doc_id % 6 IN (0, 4) AND strlen(text) + CASE WHEN doc_id % 6 = 4 THEN 9001 ELSE 0 END <= 1000000 AND NOT regexp_matches(text, '^(GIF8|PK\x03\x04)') AND strpos(substr(text, 1, 8), chr(0)) = 0 AS is_text
+       FROM documents WHERE text IS NOT NULL"""
+)
+def binary_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a magic, a NUL, or a byte that isn't UTF-8 put in: before the end of the first chunk it shuts the gate, behind it it doesn't."""
+    body, kind = F.encode("text", "utf-8"), F.col("doc_id") % 6
+    many = lambda n: F.encode(F.repeat(F.lit("x"), F.lit(n)), "utf-8")
+    bad = F.expr("X'FF'")
+    content = F.when(kind == 1, F.concat(F.expr("X'89504E470D0A1A0A'"), body)).when(kind == 2, F.concat(F.expr("X'612000'"), body)).when(kind == 3, F.concat(many(100), bad, body)).when(kind == 4, F.concat(body, many(9000), bad)).when(kind == 5, F.concat(many(5000), bad, body)).otherwise(body)
+    rows = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("doc_id").cast("string").alias("relpath"), content.alias("content"))
+    routed = gates.routed(rows.withColumn("size", F.octet_length("content").cast("long")))
+    return routed.select("doc_id", "is_text")
+
+
+_PLANTED = "CASE doc_id % 3 WHEN 0 THEN coalesce(b.text, d.text) WHEN 1 THEN coalesce(b.text || ' one more word', d.text) ELSE d.text END"
+
+
+@query(
+    f"""WITH p AS (SELECT d.doc_id, {_PLANTED} AS text FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 50),
+        t AS (SELECT doc_id, {_TOKENS} AS w FROM p), r AS (SELECT item_id, {_TOKENS} AS w FROM benchmark WHERE length(text) > 0),
+        e AS (SELECT t.doc_id, min(r.item_id) AS ref FROM t JOIN r ON array_to_string(t.w, chr(1)) = array_to_string(r.w, chr(1)) WHERE len(t.w) > 0 GROUP BY 1),
+        x AS (SELECT doc_id, unnest(list_distinct(w)) AS w FROM t WHERE doc_id NOT IN (SELECT doc_id FROM e)), y AS (SELECT item_id, unnest(list_distinct(w)) AS w FROM r),
+        nx AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1), ny AS (SELECT item_id, count(*) AS n FROM y GROUP BY 1), o AS (SELECT doc_id, item_id, count(*) AS o FROM x JOIN y USING (w) GROUP BY 1, 2),
+        s AS (SELECT doc_id, item_id, 2.0::DOUBLE * o / (nx.n + ny.n) AS score FROM o JOIN nx USING (doc_id) JOIN ny USING (item_id))
+        SELECT doc_id, ref::VARCHAR AS license, 1.0::DOUBLE AS score FROM e UNION ALL
+        SELECT doc_id, item_id::VARCHAR, round(score, 9) FROM s WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) = 1"""
+)
+def license_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License files against whole license texts: documents of which a third is a benchmark text and another third one with words added."""
+    bench = _table(spark, sf_dir, "benchmark")
+    both = _table(spark, sf_dir, "documents").join(bench.select("item_id", F.col("text").alias("planted")), F.col("item_id") == F.col("doc_id") % 50, "left")
+    body = F.when(F.col("doc_id") % 3 == 0, F.coalesce("planted", "text")).when(F.col("doc_id") % 3 == 1, F.coalesce(F.concat("planted", F.lit(" one more word")), "text")).otherwise(F.col("text"))
+    return licenses.text_matches(both.select("doc_id", body.alias("text")), license_ref(bench, "item_id"), key="doc_id").withColumn("score", F.round("score", 9))
+
+
+@query(
+    f"WITH d AS (SELECT source, {_SPELLED} AS t FROM documents), k AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{a}', '{c}', '{p}')" for a, c, p in detectors.CRYPTO)
+    + ") k(algorithm, coding, pattern)) SELECT DISTINCT source AS dir, 'crypto' AS kind, algorithm AS name, coding AS value FROM d JOIN k ON regexp_matches(t, pattern)"
+)
+def crypto_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cryptographic algorithms by directory."""
+    spell = F.element_at(F.array(*map(F.lit, _SPELLS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return summary.crypto_facts(detectors.crypto_found(doc_files(spark, sf_dir).withColumn("text", F.concat(spell, F.lit("\n"), F.col("text")))))
+
+
+_CLAIMED_TWICE = f"{_CLAIMED} || chr(10) || '(c) 1999-2001 Ann ' || doc_id"
+_CLAUSES = f"""l AS (SELECT doc_id, source, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, source, string_split({_CLAIMED_TWICE}, chr(10)) AS x FROM documents)),
+        c AS (SELECT doc_id, source, i, regexp_replace(regexp_extract(line, '(?i)((?:\\bcopyright\\b|\\(c\\)|©).*)$', 1), '^[\\s,.;:*/#-]+|[\\s,.;:*/#-]+$', '', 'g') AS clause FROM l),
+        h AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(clause, '(?i)\\bcopyright\\b|\\(c\\)|©|\\ball rights reserved\\b', ' ', 'g'), '\\b[0-9]{{4}}(?:\\s*[-,]\\s*[0-9]{{2,4}})*\\b', ' ', 'g'), '(?i)^[\\s,.;:]*by\\b', ' '), '\\s+', ' ', 'g')) AS bare FROM c WHERE clause <> ''),
+        n AS (SELECT doc_id, source, i, clause, regexp_replace(bare, '^[\\s,.;:*/#-]+|[\\s,.;:*/#-]+$', '', 'g') AS holder FROM h),
+        a AS (SELECT doc_id, max(i) AS last, coalesce(string_agg(holder, '|' ORDER BY i) FILTER (WHERE holder <> ''), '') AS holders FROM n GROUP BY 1)"""
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year = F.lpad((F.col("doc_id") % 30).cast("string"), 2, "0")
+    body = F.concat(F.lit("Copyright (c) 20"), year, F.lit(" Studio "), F.col("source"), F.lit(". All rights reserved\nWritten by Ada "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n(c) 1999-2001 Ann "), F.col("doc_id").cast("string"))
+    return doc_files(spark, sf_dir).select("doc_id", "relpath", F.explode(copyrights.statements(body, "reference")).alias("x"))
+
+
+@query(f"WITH {_CLAUSES} SELECT n.doc_id, clause, CASE WHEN i = last THEN holders ELSE '' END AS holders FROM n JOIN a USING (doc_id)")
+def copyright_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses with their holders in the default mode, in which all holders belong to the last clause."""
+    return _claims(spark, sf_dir).select("doc_id", "x.clause", F.array_join("x.holders", "|").alias("holders"))
+
+
+@query(f"WITH {_CLAUSES} SELECT DISTINCT source AS dir, 'copyright' AS kind, holder AS name, NULL::VARCHAR AS value FROM n WHERE holder <> ''")
+def copyright_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holders by directory."""
+    return summary.copyright_facts(_claims(spark, sf_dir).select("relpath", "x.clause", F.explode("x.holders").alias("holder")))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN 'fast' WHEN text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) THEN 'primary' END AS hit,
+              CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) THEN length(text)::VARCHAR END AS data FROM documents WHERE text IS NOT NULL"""
+)
+def cache_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache that holds the results of half of the files, asked for all of them after a third has moved."""
+    store = cache.ResultsCache(spark, f"{shared_folder(spark)}/gritsieve/cache-{uuid.uuid4().hex}")
+    rows = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.lit("/a/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("size"), F.lit("2024-01-01").cast("timestamp").alias("mtime"), F.encode("text", "utf-8").alias("content"), F.length("text").cast("string").alias("found"))
+    store.set_with_fastpath(cache.keyed_files(rows.where("doc_id % 2 = 0"), "t").select("cache_key", F.col("found").alias("data"), "fastpath_key", "size", "mtime"))
+    moved = rows.withColumn("path", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/b"), F.col("path"))).otherwise(F.col("path")))
+    return store.get_with_fastpath(cache.keyed_files(moved, "t"), refresh=False).select("doc_id", "hit", "data")
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> scans.ScanFrames:

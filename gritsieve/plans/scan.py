@@ -82,23 +82,34 @@ class ScanFrames:
         return summary.at_prefix(self.folded, prefix)
 
 
-def analysed(files: DataFrame, analysers: Sequence[Analyser], config: ScanConfig, cache: ResultsCache | None = None) -> tuple[DataFrame, list[tuple[DataFrame, str]]]:
-    """(findings, rows to store with their category) of routed files by several analysers."""
-    branches, store = [], []
+def analysed(files: DataFrame, analysers: Sequence[Analyser], config: ScanConfig, cache: ResultsCache | None = None) -> tuple[DataFrame, list[tuple[DataFrame, str]], list[tuple[None, str, str]]]:
+    """(findings, rows to store with their category, errors) of routed files by several analysers.
+
+    Each analyser's findings are written on their own, so that one that fails leaves an error and the others' findings.
+    """
+    branches, store, errors = [files.sparkSession.createDataFrame([], FINDINGS)], [], []
     for i, a in enumerate(analysers):
-        mine = files.where(a.predicate())
-        if cache is None:
-            rows = a.transform(mine)
-        else:
-            rows, fresh = with_cache(a.transform, mine, cache, a.category, options=a.options())
+        try:
+            mine = files.where(a.predicate())
+            if cache is None:
+                rows, fresh = a.transform(mine), None
+            else:
+                rows, fresh = with_cache(a.transform, mine, cache, a.category, options=a.options())
+            rows = rows.where("data is not null and data not in ('[]', '{}')").select("relpath", F.lit(a.category).alias("category"), "data", F.lit(i).alias("ord"))
+            branches.append(kept(rows, "findings"))
+        except ImportError:
+            raise
+        except Exception as e:  # whatever an analyser of somebody else raises
+            if "ModuleNotFoundError" in str(e) or "ImportError" in str(e):
+                raise
+            errors.append((None, a.category, f"{type(e).__name__}: {str(e)[:500]}"))
+            continue
+        if fresh is not None:
             store.append((fresh, a.category))
-        branches.append(rows.where("data is not null and data not in ('[]', '{}')").select("relpath", F.lit(a.category).alias("category"), "data", F.lit(i).alias("ord")))
-    if not branches:
-        return files.sparkSession.createDataFrame([], FINDINGS), store
     out = branches[0]
     for b in branches[1:]:
         out = out.unionByName(b)
-    return out, store
+    return out, store, errors
 
 
 def failures(routed: DataFrame, config: ScanConfig) -> DataFrame:
@@ -113,7 +124,7 @@ def failures(routed: DataFrame, config: ScanConfig) -> DataFrame:
 def scan_files(files: DataFrame, ref: DataFrame, aliases: DataFrame, config: ScanConfig = ScanConfig(), rules: DataFrame | None = None, components: DataFrame | None = None, cache: ResultsCache | None = None, ignored: DataFrame | None = None, analysers: Sequence[Analyser] | None = None, after: Sequence[Callable[[DataFrame], DataFrame]] = (), observe: Observation | None = None) -> ScanFrames:
     """Scans a table of files (see sources.files.FILES).
 
-    The latest file of a relpath counts.  Each analyser is a branch of one plan over the routed files.  components:
+    The latest file of a relpath counts.  Each analyser reads the routed files; one that fails becomes a row of errors without a relpath.  components:
     (relpath, purl, version) for the summary.  after: steps over the findings, in order, before anything is stored.
     observe: is given the number of files while the scan runs.
     """
@@ -122,12 +133,12 @@ def scan_files(files: DataFrame, ref: DataFrame, aliases: DataFrame, config: Sca
     if observe is not None:
         routed = routed.observe(observe, F.count("*").alias("files"))
     analysers = default_analysers(ref, aliases, config, rules) if analysers is None else analysers
-    findings, store = analysed(routed, analysers, config, cache)
+    findings, store, failed = analysed(routed, analysers, config, cache)
     for step in after:
         findings = step(findings)
     # results, summary and statistics all read the findings, which are few beside the files
-    findings = kept(findings, "findings")
-    errors = failures(routed, config)
+    findings = kept(findings, "findings") if after else findings
+    errors = failures(routed, config).unionByName(spark.createDataFrame(failed, "relpath string, category string, message string"))
     ignored = spark.createDataFrame([], "relpath string, reason string") if ignored is None else ignored
     options = merged_options(*(a.options() for a in analysers))
     return ScanFrames(routed, ignored, findings, errors, config, options, components, store)

@@ -27,7 +27,9 @@ def scan_stream(files: DataFrame, analysers: list[Analyser], out: str, checkpoin
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        found, _ = analysed(gates.routed(rows, config.max_file_size), analysers, config)
+        found, _, failed = analysed(gates.routed(rows, config.max_file_size), analysers, config)
+        if failed:  # the batch is tried again
+            raise RuntimeError("; ".join(f"{category}: {message}" for _, category, message in failed))
         if sink is not None:
             sink(found, number)
         else:

@@ -12,7 +12,10 @@ def test_similarity_is_the_same_as_all_pairs(spark):
     words = [f"w{i}" for i in range(30)]
     texts = [(i, " ".join(rng.sample(words, rng.randint(1, 12)))) for i in range(120)] + [(200, ""), (201, None), (202, "w1 w1 w1"), (203, "w1")]
     docs = spark.createDataFrame(texts, "id long, text string")
-    got = {r.id: (r.license, round(r.score, 9)) for r in licenses.similar_matches(docs, license_ref(docs, "id"), key="id", threshold=0.6, skip_self=True).collect()}
+    found = [{r.id: (r.license, round(r.score, 9)) for r in licenses.similar_matches(docs, license_ref(docs, "id"), key="id", threshold=0.6, skip_self=True, most=most).collect()} for most in (10**6, 0)]
+    got = found[0]
+    assert found[1] == got
+    assert licenses.similar_matches(docs, license_ref(docs.limit(0), "id"), key="id").count() == licenses.similar_matches(docs.limit(0), license_ref(docs, "id"), key="id").count() == 0
     sets = {i: set((t or "").split()) for i, t in texts}
     want = {}
     for i, j in itertools.permutations(sets, 2):
@@ -77,8 +80,10 @@ def test_fingerprints_are_the_rightmost_minima(spark):
 
 def test_batches_of_requests(spark):
     rows = spark.range(2500).select(F.md5(F.col("id").cast("string")).alias("file_hash"))
-    got = enrich.request_batches(rows, size=99, buckets=4).collect()
-    assert max(len(r.hashes) for r in got) == 99 and sum(len(r.hashes) for r in got) == 2500
+    got = sorted(enrich.request_batches(rows, size=99).collect())
+    assert [len(r.hashes) for r in got] == [99] * 25 + [25] and [r.batch for r in got] == list(range(26))
+    assert [h for r in got for h in r.hashes] == sorted(h for r in got for h in r.hashes)
+    assert enrich.request_batches(rows.limit(900)).count() == 1 and enrich.request_batches(rows.limit(0)).count() == 0
 
 
 def test_incompatible_pairs_and_their_direction(spark):
@@ -160,3 +165,39 @@ def test_partial_summaries_unite_in_any_order(spark):
     assert one == two
     row = one[0]
     assert row.licenses == ["MIT"] and row.crypto_algorithms == {"AES": ["x", "y"]} and row.copyrights["Ann"].clauses == [] and row.components == {}
+
+
+def test_rules_few_and_many(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "xay"), ("b", "b1"), ("c", None), ("d", "")], "relpath string, text string")
+    rules = spark.createDataFrame([("r1", "a", {"k": "v"}), ("r2", "[ab]", None), ("r3", "[ab]", {}), ("r4", None, {})], "rule string, pattern string, meta map<string,string>")
+    got = sorted((r.relpath, r.rule) for r in detectors.rule_matches(docs, rules).collect())
+    monkeypatch.setattr(detectors, "RULES", 1)
+    assert got == sorted((r.relpath, r.rule) for r in detectors.rule_matches(docs, rules).collect()) == [("a", "r1"), ("a", "r2"), ("a", "r3"), ("b", "r2"), ("b", "r3")]
+    monkeypatch.undo()
+    assert detectors.rule_matches(docs, rules.limit(0)).count() == 0
+
+
+def test_the_gate_reads_a_first_chunk(spark):
+    import io
+
+    from gritsieve.operators import gates
+
+    def accepted(raw):
+        try:
+            io.TextIOWrapper(io.BytesIO(raw), encoding="utf-8", errors="strict").read(1024)
+            return True
+        except UnicodeDecodeError:
+            return False
+
+    e = "é".encode()
+    cases = [b"", b"x", e[:1], b"x" * 1023 + e[:1], b"x" * 1024 + e[:1], b"x" * 5000 + b"\xff", b"x" * 9000 + b"\xff", b"x" * 8191 + e + b"y" * 5000, b"x" * 8191 + b"\xff" + b"y" * 5000, e * 600 + e[:1], "漢".encode() * 500 + "漢".encode()[:2], b"x" * 1022 + b"\xff"]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, content binary").select("i", gates.valid_start(F.col("content")).alias("ok"))
+    assert [r.ok for r in sorted(rows.collect())] == [accepted(c) for c in cases]
+
+
+def test_words_hash_alike_as_a_list_and_as_a_text(spark):
+    from gritsieve.functions.text import text_token_hash, token_hash, tokens
+
+    docs = spark.createDataFrame([("a b",), (" a, b!\n",), ("",), ("!?",), (None,), ("é_1 漢",), ("a",)], "t string")
+    rows = docs.select(text_token_hash(F.col("t")).alias("x"), F.when(F.size(tokens(F.col("t"))) > 0, token_hash(tokens(F.col("t")))).alias("y")).collect()
+    assert all(r.x == r.y for r in rows) and rows[0].x == rows[1].x and [r.x is None for r in rows] == [False, False, True, True, True, False, False]

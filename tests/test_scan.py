@@ -68,6 +68,30 @@ def test_scan(spark, tree, tmp_path):
     assert any("PackageLicenseInfoFromFiles: ISC AND MIT AND X" == r.value for r in sinks.tag_value(frames, "t").collect())
 
 
+def test_an_analyser_that_fails_leaves_an_error_and_the_others(spark, tree):
+    from pyspark.sql import functions as F
+
+    class Broken(CryptoAnalyser):
+        category = "broken"
+
+        def transform(self, files):
+            return files.select("relpath", F.raise_error(F.lit("no luck")).cast("string").alias("data"))
+
+    class Worse(CryptoAnalyser):
+        category = "worse"
+
+        def transform(self, files):
+            raise ValueError("at once")
+
+    ref = license_ref(spark.createDataFrame([("MIT", 1, "MIT License", LICENSE)], "key string, ord long, name string, text string"), "key", order="ord", name="name")
+    names = alias_ref(spark.createDataFrame([("MIT", 1, "MIT License", [])], "key string, ord long, name string, aliases array<string>"))
+    config = ScanConfig()
+    frames = scan(spark, [str(tree)], ref, names, config, analysers=[Broken(config, "broken"), CryptoAnalyser(config), Worse(config, "worse")])
+    assert {(r.relpath, r.category) for r in frames.findings.collect()} == {("src/a.py", "crypto")}
+    failed = {r.category: r.message for r in frames.errors.where("relpath is null").collect()}
+    assert set(failed) == {"broken", "worse"} and "no luck" in failed["broken"] and "at once" in failed["worse"]
+
+
 def test_uploads():
     sent = []
     way = lambda name, status: lambda b: (sent.append(name), status)[1]
@@ -89,10 +113,10 @@ def test_reference_is_built_once(spark, tmp_path, monkeypatch):
 
 
 def test_stream(spark, tmp_path):
-    rows = spark.createDataFrame([("a.txt", 3, b"md5"), ("b.txt", 4, b"none")], incoming.INCOMING)
+    rows = spark.createDataFrame([("a.py", 3, b"md5"), ("b.py", 4, b"none"), ("c.txt", 3, b"md5")], incoming.INCOMING)
     rows.write.parquet(str(tmp_path / "in"))
     incoming.scan_stream(incoming.requests(spark, str(tmp_path / "in")), [CryptoAnalyser(ScanConfig())], str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert [r.relpath for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a.txt"]
+    assert [r.relpath for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a.py"]
 
 
 @pytest.mark.parametrize("name", list(catalog.ORACLES))
