@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -71,3 +73,37 @@ def test_awkward_documents(spark):
     assert by[0] == by[100] and by[102] == by[103] and len(by[110]) == 3
     assert {r.quality_score for r in c.quality_scores(docs, c.train(docs, labels.limit(0))).collect()} == {0.5}
     assert c.quality_scores(empty(spark), c.train(empty(spark), labels)).count() == 0
+
+
+def statistics_by_hand(text):
+    """The statistics of a text by counting in plain Python."""
+    raw = (text or "").encode()
+    low = bytearray(raw.lower())
+    for i in range(1, len(low)):
+        if low[i - 1] == 0xC3 and 0x80 <= low[i] <= 0x9E and low[i] != 0x97:
+            low[i] += 0x20
+    spans = [m.span() for m in re.finditer(rb"[0-9A-Za-z_\x80-\xff]+", raw)]
+    words = [bytes(low[a:b]) for a, b in spans]
+    n, size = max(len(words), 1), max(len(raw), 1)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n
+    share = lambda chars: sum(c in chars for c in raw) / size
+    return [
+        np.log1p(len(raw)), np.log1p(len(words)), mean, max(sum(x * x for x in lengths) / n - mean**2, 0) ** 0.5,
+        share(range(65, 91)), share(range(97, 123)), share(range(48, 58)), share(b"\t\v\f\r "), share(b"\n"), share(range(128, 192)), share(b".,;:?'\"()-"), share(b"!#$%&*+/<=>@[\\]^_`{}~"), share(b"|"),
+        len(set(words)) / n, max(map(words.count, set(words)), default=0) / n, sum(a == b for a, b in zip(words, words[1:])) / n, len(words) / (raw.count(b"\n") + 1),
+        sum(x <= 2 for x in lengths) / n, sum(x >= 14 for x in lengths) / n, sum(65 <= raw[a] <= 90 for a, _ in spans) / n,
+    ]
+
+
+def test_the_query_against_counting_and_walking(spark):
+    """Every score of the query, from statistics counted in plain Python and trees walked node by node."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    trees = c.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op6_quality_classifier"](spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts) and len(trees.roots) > 10
+    for i, t in texts.items():
+        score = walk(trees, statistics_by_hand(t))
+        assert abs(score - got[i].quality_score) < 1e-6 and (abs(score - 0.5) < 1e-6 or got[i].keep == (score >= 0.5))
+    assert len({round(r.quality_score, 6) for r in got.values()}) > 50

@@ -74,3 +74,45 @@ def test_tables_of_other_forms():
     (t,) = media.read_container(raw)
     offset, size, time, key = t.samples()
     assert offset.tolist() == [1000, 1001, 2000, 2003, 3000] and size.tolist() == [1, 2, 3, 4, 5] and time.tolist() == [-7, 93, 193, 293, 343] and key.all() and t.duration() == 400 and t.id == 9
+
+
+#: ftyp, mdat of 10 bytes, and moov with one audio track of three samples in two chunks, byte by byte
+BY_HAND = bytes.fromhex(
+    "00000010 66747970 69736f6d 00000200"
+    "00000012 6d646174 41414142 42434343 4343"
+    "000000ec 6d6f6f76"
+    "000000e4 7472616b"
+    "0000005c 746b6864 00000007 00000000 00000000 00000005 00000000 00000000" + "00" * 60 +
+    "00000080 6d646961"
+    "00000020 6d646864 00000000 00000000 00000000 00001f40 000000f0 00000000"
+    "00000021 68646c72 00000000 00000000 736f756e 00000000 00000000 00000000 00"
+    "00000037 6d696e66"
+    "0000002f 7374626c"
+    "00000027 73747364 00000000 00000001 00000017 6d703461 00000000 00000001 00000000 000000"
+)
+
+
+def tables_by_hand():
+    """The container above with sample tables put at the end of stbl, all sizes of the boxes around them raised by hand."""
+    more = bytes.fromhex(
+        "00000018 73747473 00000000 00000001 00000003 00000050"
+        "00000028 73747363 00000000 00000002 00000001 00000002 00000001 00000002 00000001 00000001"
+        "00000020 7374737a 00000000 00000000 00000003 00000003 00000002 00000005"
+        "00000018 7374636f 00000000 00000002 00000018 0000001d"
+        "00000014 73747373 00000000 00000001 00000003"
+    )
+    raw = bytearray(BY_HAND + more)
+    for kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+        at = raw.index(kind) - 4
+        raw[at : at + 4] = (len(raw) - at).to_bytes(4, "big")
+    return bytes(raw)
+
+
+def test_a_container_written_byte_by_byte(spark):
+    raw = tables_by_hand()
+    (row,) = media.media_tracks(spark.createDataFrame([(1, raw)], "media_id long, content binary")).collect()
+    assert row.error is None and (row.track_id, row.kind, row.codec, row.timescale, row.duration_ticks, row.n_samples) == (5, "soun", "mp4a", 8000, 240, 3) and abs(row.duration_s - 0.03) < 1e-12
+    assert [tuple(k) for k in row.keyframes] == [(3, 160, 29, 5)] and raw[29:34] == b"CCCCC"
+    (t,) = media.read_container(raw)
+    offset, size, time, key = t.samples()
+    assert [raw[o : o + n] for o, n in zip(offset, size)] == [b"AAA", b"BB", b"CCCCC"] and time.tolist() == [0, 80, 160] and key.tolist() == [False, False, True]

@@ -45,3 +45,35 @@ def test_stripes_indexes_and_filters(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,10)]" in plan or "In(doc_id" in plan
     with pytest.raises(Exception):
         tf.read_tokens(spark, str(tmp_path / "missing")).count()
+
+
+def scanned(df):
+    """The rows that the scan of a plan gave on, after its row groups were pruned."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_row_groups_are_skipped(spark, tmp_path):
+    """Of 40 row groups of 1000 rows only those are read that a range reaches, or whose Bloom filter lets an id pass."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "t")
+    # ids apart by 7 within files that span the same range, so that ranges alone prune nothing for single ids
+    rows = spark.range(40_000).select(((F.col("id") * 7919) % 280_000 * 3).alias("doc_id"), F.lit(1).alias("n_tokens"), F.array(F.lit(1)).alias("token_ids")).repartition(2)
+    tf.write_tokens(rows, path, row_stride=1000)
+    every = scanned(tf.read_tokens(spark, path))
+    assert every == 40_000
+    low = tf.read_tokens(spark, path, between=(0, 3000))
+    assert 0 < scanned(low) <= 4000
+    one = rows.first().doc_id
+    found = tf.read_tokens(spark, path, ids=[one])
+    assert 1 <= scanned(found) <= 3000 and found.count() == rows.where(F.col("doc_id") == one).count()
+    assert scanned(tf.read_tokens(spark, path, ids=[one + 1])) <= 2000
+
+
+def test_token_counts(spark):
+    from pyspark.sql import functions as F
+
+    rows = awkward(spark).select(tf.token_count()("text").alias("n"), F.coalesce(F.size(tf.encoded()("text")), F.lit(0)).alias("m")).collect()
+    assert all(r.n == max(r.m, 0) for r in rows) and len(rows) == len(awkward_rows())
