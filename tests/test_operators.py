@@ -26,6 +26,38 @@ def test_similarity_is_the_same_as_all_pairs(spark):
     assert got == {i: (str(-j), round(s, 9)) for i, (s, j) in want.items()}
 
 
+def test_texts_among_themselves_are_the_same_as_all_pairs(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for size in (1, 3, 40, 300, 700):  # families of near copies, whose members have up to 1.5 times as many words
+        for _ in range(4):
+            base = rng.sample(words, size)
+            texts += [" ".join(rng.sample(base, max(1, size - rng.randint(0, size // 4))) + rng.sample(words, rng.randint(0, 1 + size // 5))) for _ in range(8)]
+    texts += [texts[7], texts[7], texts[20], "", None, " ".join(words[:700]), "w1 w1", "w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = {i: set((t or "").split()) for i, t in enumerate(texts)}
+    for threshold in (0.8, 0.5):
+        want = {}
+        for i, j in itertools.permutations(sets, 2):
+            if sets[i] and sets[j]:
+                s = 2 * len(sets[i] & sets[j]) / (len(sets[i]) + len(sets[j]))
+                if s >= threshold and (s, -j) > want.get(i, (0, 0)):
+                    want[i] = (s, -j)
+        got = licenses.similar_others(docs, "id", threshold=threshold)
+        assert "SortMergeJoin [word" not in got._jdf.queryExecution().toString()  # words aren't joined, one row each
+        assert {r.id: (r.license, r.score) for r in got.collect()} == {i: (str(-j), s) for i, (s, j) in want.items()}
+        assert {"w1 w1": 1.0}.items() <= {texts[r.id]: r.score for r in got.collect()}.items()
+
+
+def test_a_text_is_not_its_own_match_even_if_its_reference_differs(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d f"), (None, "a b c d e")], "id long, text string")
+    ref = license_ref(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d g h"), (3, "a b c d")], "id long, text string"), "id")
+    for most in (10**6, 0):
+        got = licenses.similar_matches(docs.where("id is not null"), ref, key="id", skip_self=True, most=most).collect()
+        assert {r.id: r.license for r in got} == {1: "3", 2: "1"}
+
+
 def test_aliases_look_at_the_first_occurrence_only(spark):
     ref = alias_ref(spark.createDataFrame([("MIT", 1, "MIT License", []), ("X", 2, "The X", ["the ex", "!bang"])], "key string, ord long, name string, aliases array<string>"))
     assert {tuple(r) for r in ref.select("key", "alias").collect()} == {("MIT", "MIT License"), ("X", "the ex"), ("X", "!bang"), ("X", "X"), ("X", "The X")}
