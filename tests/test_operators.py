@@ -67,6 +67,25 @@ def test_aliases_look_at_the_first_occurrence_only(spark):
     assert got == [(2, "MIT License"), (3, "MIT License"), (4, "The X"), (4, "X"), (4, "the ex"), (7, "!bang")]
 
 
+def test_texts_are_searched_once(spark):
+    docs = spark.createDataFrame([(1, "a, b"), (2, "--"), (3, None), (4, "uses AES, sha1")], "id long, text string")
+    ref = spark.createDataFrame([("A", 1, "d79bd9c5e5cd0ca4c8ebb4b5b2c58a2f")], "key string, ord long, tok_md5 string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(licenses.exact_matches(docs, ref, key="id")).count("regexp_replace(") == 1
+    assert plan(detectors.crypto_found(docs, key="id")).count("rijndael") == 2  # one pattern of all, and its own
+    assert {(r.id, r.algorithm) for r in detectors.crypto_found(docs, key="id").collect()} == {(4, "AES"), (4, "SHA-1")}
+
+
+def test_few_aliases_are_found_as_many_are(spark, monkeypatch):
+    ref = alias_ref(spark.createDataFrame([("MIT", 1, "MIT License", []), ("X", 2, "The X", ["the ex", "!bang"]), ("Y", 3, "The X", [])], "key string, ord long, name string, aliases array<string>"))
+    docs = spark.createDataFrame(list(enumerate(["xMIT License, MIT License", "(MIT License)", "the ex and The X", None, "", "a !bang", "éMIT License", "X"])), "id long, text string")
+    found = []
+    for most in (64, 0):
+        monkeypatch.setattr(licenses, "ALIASES", most)
+        found.append(sorted(tuple(r) for r in licenses.alias_matches(docs, ref, key="id").collect()))
+    assert found[0] == found[1] and (2, "Y", "The X", 3) in found[0]
+
+
 def test_a_spoiled_tag_still_hides_aliases(spark):
     ref = alias_ref(spark.createDataFrame([("MIT", 1, "MIT License", [])], "key string, ord long, name string, aliases array<string>"))
     docs = spark.createDataFrame([(1, "SPDX-License-Identifier: A B\nMIT License"), (2, "MIT License"), (3, "none"), (4, "SPDX-License-Identifier:\nMIT License")], "id long, text string")
