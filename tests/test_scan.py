@@ -92,6 +92,14 @@ def test_an_analyser_that_fails_leaves_an_error_and_the_others(spark, tree):
     assert set(failed) == {"broken", "worse"} and "no luck" in failed["broken"] and "at once" in failed["worse"]
 
 
+def test_the_fold_reads_written_facts(spark, tree):
+    ref = license_ref(spark.createDataFrame([("MIT", 1, "MIT License", LICENSE)], "key string, ord long, name string, text string"), "key", order="ord", name="name")
+    names = alias_ref(spark.createDataFrame([("MIT", 1, "MIT License", [])], "key string, ord long, name string, aliases array<string>"))
+    frames = scan(spark, [str(tree)], ref, names, ScanConfig())
+    assert "from_json" not in frames.summary._jdf.queryExecution().optimizedPlan().toString()
+    assert frames.summary.first().licenses == ["ISC", "MIT", "X"]
+
+
 def test_uploads():
     sent = []
     way = lambda name, status: lambda b: (sent.append(name), status)[1]
